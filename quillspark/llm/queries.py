@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, tokens
+from quillspark.llm import bpe, language, tokens, toxicity
 from quillspark.llm.common import read_table
 
 
@@ -22,6 +22,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": language.op1_language,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op8_bpe": op8_bpe,
     "op10_token_counts": op10_token_counts,
 }
