@@ -4,8 +4,7 @@ Labels mark documents, so the tokens to learn from are labelled first: a token o
 its features (the word, its prefixes and suffixes) is in far more toxic than clean documents, by a log-likelihood ratio
 test. The chain has two states; a token's features give the score of the toxic one, four transition weights tie
 neighbours. Forward and backward passes give each token's marginal. A document's score is a logistic function of the
-expected number of toxic tokens, the largest marginal and the share of toxic tokens, fitted on documents that the chain
-did not learn from. Spans are runs of tokens with a marginal of at least one half.
+expected number of toxic tokens, the largest marginal and the share of toxic tokens. Spans are runs of tokens with a marginal of at least one half.
 
 Learning takes a sample of TOXIC + CLEAN labelled documents of at most MAX_CHARS characters; every document is scored
 over its whole text, in one pass without a shuffle.
@@ -103,19 +102,18 @@ def summary(p: np.ndarray) -> np.ndarray:
 
 
 def label_tokens(docs: list[np.ndarray], toxic: np.ndarray, features: np.ndarray) -> np.ndarray:
-    """Which words are toxic, by the documents that their features are in. docs: word numbers; features: of each word, padded with bucket 0."""
+    """Which words are toxic, by the documents that have their features. docs: word numbers; features: of each word, padded with bucket 0."""
     seen = np.zeros((2, BUCKETS))
     for words, y in zip(docs, toxic, strict=True):
         seen[int(y), np.unique(features[np.unique(words)])] += 1
-    n = np.array([(toxic == 0).sum(), (toxic == 1).sum()], dtype=float)
+    n = np.array([(toxic == 0).sum(), (toxic == 1).sum()], dtype=float)[:, None]
+
+    def part(k: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return k * np.log(np.maximum(k, 1e-9) / np.maximum(expected, 1e-9))
+
     total = seen.sum(axis=0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        parts = [np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(m * total / n.sum(), 1e-9)), 0) for k, m in ((seen[0], n[0]), (seen[1], n[1]), (n[0] - seen[0], n[0]), (n[1] - seen[1], n[1]))]
-        absent = n.sum() - total
-        for j, (k, m) in enumerate(((n[0] - seen[0], n[0]), (n[1] - seen[1], n[1]))):
-            parts[2 + j] = np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(m * absent / n.sum(), 1e-9)), 0)
-    ratio = 2 * np.sum(parts, axis=0)
-    much = seen[1] / max(n[1], 1) > 8 * (seen[0] + 0.5) / max(n[0], 1)
+    ratio = 2 * (part(seen, n * total / n.sum()) + part(n - seen, n * (n.sum() - total) / n.sum())).sum(axis=0)
+    much = seen[1] / n[1] > 8 * (seen[0] + 0.5) / n[0]
     strong = (ratio >= EVIDENCE) & much & (seen[1] >= 2)
     strong[0] = False
     return strong[features].any(axis=1)
@@ -203,7 +201,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def learn(rows: list[tuple[str, int]]) -> ChainModel:
-    """From distinct (text, label) rows: two in three teach the chain, the others the document's score."""
+    """From distinct (text, label) rows."""
     model = ChainModel()
     y = np.array([t for _, t in rows], dtype=np.int64)
     if not len(rows) or y.min() == y.max():
@@ -216,14 +214,11 @@ def learn(rows: list[tuple[str, int]]) -> ChainModel:
     for w, k in number.items():
         f = word_features(w)
         features[k, : len(f)] = f
-    second = np.arange(len(rows)) % 3 == 2
-    first = np.flatnonzero(~second)
-    bad = label_tokens([docs[k] for k in first], y[first], features)
-    train_chain(model, [docs[k] for k in first], y[first], features, bad)
+    bad = label_tokens(docs, y, features)
+    train_chain(model, docs, y, features, bad)
     e = model.bias + model.w[features].sum(axis=1)
     x = np.array([summary(p) for p in model.marginals([e[d] if len(d) else np.zeros(0) for d in docs])])
-    rest = second if len({*y[second]}) == 2 and y[second].sum() >= 30 else np.ones(len(rows), dtype=bool)
-    model.doc = fit_logistic(x[rest], y[rest].astype(float))
+    model.doc = fit_logistic(x, y.astype(float))
     return model
 
 
