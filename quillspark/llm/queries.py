@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, language, licenses, quality, tokens, toxicity
+from quillspark.llm import bpe, decontaminate, language, licenses, quality, tokens, toxicity, urls
 from quillspark.llm.common import read_table
 
 
@@ -24,10 +24,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": language.op1_language,
     "op2_licenses": licenses.op2_licenses,
+    "op4_urls": urls.op4_urls,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_toxicity": toxicity.op6_toxicity,
     "op8_bpe": op8_bpe,
     "op9_quality": quality.op9_quality,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_licenses": licenses.oracle()}
+ORACLE_SQL: dict[str, str] = {"op2_licenses": licenses.oracle(), "op4_urls": urls.oracle()}
