@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, decontaminate, language, licenses, quality, tokens, toxicity, urls
+from quillspark.llm import bpe, decontaminate, language, licenses, neardup, quality, tokens, toxicity, urls
 from quillspark.llm.common import read_table
 
 
@@ -24,6 +24,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": language.op1_language,
     "op2_licenses": licenses.op2_licenses,
+    "op3_neardup": neardup.op3_neardup,
     "op4_urls": urls.op4_urls,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_toxicity": toxicity.op6_toxicity,
