@@ -42,3 +42,12 @@ def held_out(doc_id: Column | str) -> Column:
 def sample_order(*cols: str) -> Column:
     """A fixed pseudo-random order of rows, from 0 to 2**32 - 1."""
     return F.xxhash64(F.lit(20240229), *[F.col(c) for c in cols]).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+#: Rows up to which few() has a table broadcast.
+FEW = 500_000
+
+
+def few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """df, to be broadcast if it has at most so many (short) rows; beyond that the join shuffles."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -15,11 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialise, read_table
+from quillspark.llm.common import few, materialise, read_table
 
 SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 12
-#: Item shingles (or candidate documents) up to this number are broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
 
 
 def with_tokens(df: DataFrame, text: str, tokens: str) -> DataFrame:
@@ -75,11 +73,6 @@ def prepare_items(items: DataFrame, shingle: int, threshold: float, id_col: str,
     return own.select("item_id", "item", "n", "hash").join(rows, ["item_id", "item"]).withColumn("need", need).drop("top")
 
 
-def few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df, to be broadcast if it has at most so many rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def find_leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, similarity, start, n_windows: one row for each document and item of which it has a leaking window.
 

@@ -22,15 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialise, read_table
+from quillspark.llm.common import few, materialise, read_table
 
 SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 #: Least share of equal minima: 6 standard deviations below 0.8.
 SIGNATURE = 0.6
-#: Rows up to which a table is broadcast; beyond, joins shuffle.
-BROADCAST_ROWS = 500_000
 #: Words a worker remembers, and shingles hashed at a time.
 MEMO, CHUNK = 500_000, 256
 SET = np.dtype("<u8")
@@ -110,10 +108,6 @@ def with_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("rid", "id", "text").mapInArrow(run, f"rid long, id {docs.schema['id'].dataType.simpleString()}, n long, key binary, minima binary")
 
 
-def few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def agreement(pairs: DataFrame) -> DataFrame:
     """a, b of the pairs (a, b, ma, mb: minima) whose signatures agree in at least a share SIGNATURE."""
 

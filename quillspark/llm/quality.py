@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import read_table
+from quillspark.llm.common import few, read_table
 
 #: Hash buckets of the multinomials, and what is added to each count, as a share of the mean count.
 BUCKETS, SMOOTHING = 10_000, 0.01
@@ -51,10 +51,8 @@ def fit_ratio(docs: DataFrame, trusted: DataFrame, text: str = "text", id_col: s
     Without a trusted document, or without a word in one, every ratio is 0, and so is every document's.
     """
     ids = trusted.select(trusted[trusted.columns[0]].alias("__id")).where("__id is not null").distinct()
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
     flat = docs.select(docs[id_col].alias("__id"), docs[text].alias("text"))
-    known = flat.join(ids.withColumn("t", F.lit(1)), "__id", "left")
+    known = flat.join(few(ids, BROADCAST_IDS).withColumn("t", F.lit(1)), "__id", "left")
     grams = with_words(known).select(F.coalesce("t", F.lit(0)).alias("t"), F.explode(ngram_buckets()).alias("b"))
     rows = grams.groupBy("b").agg(F.count("*").alias("n"), F.sum("t").alias("t")).collect()
     n, t = sum(r.n for r in rows), sum(r.t for r in rows)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, decontaminate, language, licenses, neardup, quality, tokens, toxicity, urls
+from quillspark.llm import bpe, decontaminate, html, language, licenses, neardup, quality, tokens, toxicity, urls
 from quillspark.llm.common import read_table
 
 
@@ -28,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_urls": urls.op4_urls,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_html": html.op7_html,
     "op8_bpe": op8_bpe,
     "op9_quality": quality.op9_quality,
     "op10_token_counts": op10_token_counts,
