@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quillspark.plans import balancing, judging, reports, rewards, texts
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {}
+ORACLE_SQL = {}
+for _part in (reports, judging, rewards, texts, balancing):
+    QUERIES |= _part.CATALOGUE.queries
+    ORACLE_SQL |= _part.CATALOGUE.sql
