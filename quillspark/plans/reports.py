@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import names as N
@@ -12,12 +12,17 @@ from quillspark.plans.relations import Catalogue, scenarios, table, with_sql
 
 CATALOGUE = Catalogue()
 add = CATALOGUE.add
-DIMS = {
-    "family": R.scalar_contribution(F.col("family")), "scope": R.scalar_contribution(F.col("scope")), "final_action": R.scalar_contribution(F.col("final_action")),
-    "toolkit": R.contributions(F.col("toolkits")), "domain": R.contributions(F.col("domains")),
-    "toolkit_signature": F.array(R.signature(F.col("toolkits"))), "domain_signature": F.array(R.signature(F.col("domains"))), "domain_arity": F.array(F.size("domains").cast("string")),
-    "domain_pair": R.pairs_of(F.col("domains")),
-}
+def dims(*names: str) -> dict[str, Column]:
+    """Dimensions of scenarios as arrays of categories; all, or those named."""
+    made = {
+        "family": lambda: R.scalar_contribution(F.col("family")), "scope": lambda: R.scalar_contribution(F.col("scope")), "final_action": lambda: R.scalar_contribution(F.col("final_action")),
+        "toolkit": lambda: R.contributions(F.col("toolkits")), "domain": lambda: R.contributions(F.col("domains")),
+        "toolkit_signature": lambda: F.array(R.signature(F.col("toolkits"))), "domain_signature": lambda: F.array(R.signature(F.col("domains"))), "domain_arity": lambda: F.array(F.size("domains").cast("string")),
+        "domain_pair": lambda: R.pairs_of(F.col("domains")),
+    }
+    return {n: made[n]() for n in names or made}
+
+
 CAPS = {"family": 21.0, "scope": 33.4, "toolkit": 5.0, "domain": 20.0}
 LONG = """long as (select id as pos, 'family' as dim, lower(trim(family)) as value from scenarios union all select id, 'scope', lower(trim(scope)) from scenarios
   union all select id, 'final_action', lower(trim(final_action)) from scenarios
@@ -30,10 +35,10 @@ LONG = """long as (select id as pos, 'family' as dim, lower(trim(family)) as val
 counts as (select dim, value, count(*) as n, min(pos) as first_pos from long group by 1, 2), n as (select count(*) as total from scenarios)"""
 
 
-def _counts(spark: SparkSession, sf_dir: str, *dims: str) -> tuple[DataFrame, int]:
+def _counts(spark: SparkSession, sf_dir: str, *names: str) -> tuple[DataFrame, int]:
     df = scenarios(spark, sf_dir)
     total = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).count()
-    return R.long_counts(df, {d: DIMS[d] for d in dims or DIMS}, "id"), total
+    return R.long_counts(df, dims(*names), "id"), total
 
 
 def _top_sql(k: int, dims: str) -> str:
@@ -93,7 +98,7 @@ def min_share_violations(spark, sf_dir):
 @add(with_sql("select dim, count(distinct value) as categories, max(w)::int as widest, max(w) > 1 or count(distinct value) * any_value(pct) >= 100 as enforceable from (select *, count(*) over (partition by dim, pos) as w from long) join (values ('family', 15.0), ('scope', 33.4), ('toolkit', 5.0), ('final_action', 25.0)) p(dim, pct) using (dim) group by 1", "scenarios", more=LONG))
 def enforceable_fields(spark, sf_dir):
     caps = {"family": 15.0, "scope": 33.4, "toolkit": 5.0, "final_action": 25.0}
-    return R.enforceable(scenarios(spark, sf_dir), {d: DIMS[d] for d in caps}, caps)
+    return R.enforceable(scenarios(spark, sf_dir), dims(*caps), caps)
 
 
 @add(with_sql("""select id, round(sum(w * s / width), 6) as score from (select pos as id, dim, value, count(*) over (partition by dim, pos) as width from long where dim in ('final_action', 'toolkit', 'domain', 'family', 'scope'))
@@ -101,7 +106,7 @@ join (select dim, value, 1 / pow(1 + m / avg(m) over (partition by dim), 2) as s
 join (values ('final_action', 4.0::double), ('domain', 2), ('toolkit', 1), ('family', 1), ('scope', 1)) w(dim, w) using (dim) group by 1""", "scenarios", more=LONG))
 def novelty_scores(spark, sf_dir):
     weights = {"final_action": 4, "domain": 2, "toolkit": 1, "family": 1, "scope": 1}
-    return R.novelty(scenarios(spark, sf_dir), "id", {d: DIMS[d] for d in weights}, weights, {"domain"})
+    return R.novelty(scenarios(spark, sf_dir), "id", dims(*weights), weights, {"domain"})
 
 
 @add("""with p as (select c_custkey as id, unnest([{'dim': 'a', 'value': lower(c_mktsegment)}, {'dim': 'b', 'value': c_nationkey::varchar}, {'dim': 'c', 'value': (c_custkey % 5)::varchar}], recursive := true) from customer),
@@ -109,8 +114,8 @@ s as (select dim, value, 1 / pow(1 + n / avg(n) over (partition by dim), 2) as s
 select id, round(sum(s), 6) as score from p join s using (dim, value) group by 1""")
 def profile_novelty(spark, sf_dir):
     df = table(spark, sf_dir, "customer")
-    dims = {"a": R.scalar_contribution(F.col("c_mktsegment")), "b": F.array(F.col("c_nationkey").cast("string")), "c": F.array((F.col("c_custkey") % 5).cast("string"))}
-    return R.novelty(df, "c_custkey", dims, dict.fromkeys(dims, 1))
+    own = {"a": R.scalar_contribution(F.col("c_mktsegment")), "b": F.array(F.col("c_nationkey").cast("string")), "c": F.array((F.col("c_custkey") % 5).cast("string"))}
+    return R.novelty(df, "c_custkey", own, dict.fromkeys(own, 1))
 
 
 @add(with_sql("""select id, case when len(domains) = 0 then 'unknown' else array_to_string(domains, '|') end as domain_signature, case when len(toolkits) = 0 then 'unknown' else array_to_string(toolkits, '|') end as toolkit_signature,
