@@ -1,12 +1,13 @@
 """Near duplicates: universal-hash minima with banding, signature and exact verification, components by large-star and small-star.
 
 1. One pass makes each text's set of word shingles, a 128-bit digest of it (the class of equal sets) and BANDS * ROWS minima.
-2. Classes that agree in a band meet in a bucket. Not all pairs of a bucket are tested: each member meets the bucket's
-   least class. Signatures sort out pairs far below the threshold, and full shingle sets decide the others.
-3. Links give components. Buckets whose members lie in several components get further tests, first each component's least
-   member against the others, then all remaining pairs across components. Jaccard distance is a metric, so what the
-   tests so far say about a pair (d(x,h) - d(y,h) > 1 - threshold) sorts out most of them without a look at the texts.
-   So every two classes of a bucket either lie in one component or are known to be below the threshold.
+2. Classes that agree in a band meet in a bucket. Not all pairs of a bucket are tested: each member meets two hubs, the
+   member that meets most others over all bands (in a group of edited copies the one nearest to the original) and one
+   chosen by hash. Signatures sort out pairs far below the threshold, and full shingle sets decide the others.
+3. Links give components. Where a bucket's members still lie in several components, the rest is exact: members outside
+   their group's largest component are compared with the whole group, block by block. A task gets two bounded blocks with
+   signatures and sets, skips pairs that its own links have joined by then, and returns links that join components, so
+   fewer than it has members. So every two classes of a bucket lie in one component or are below the threshold.
 
 A pair at the threshold shares no bucket with probability (1 - 0.8**ROWS)**BANDS, 3e-6. Edges, signatures and components
 stay in tables; nothing but counts reaches the driver.
@@ -29,6 +30,8 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 #: Least share of equal minima: 6 standard deviations below 0.8.
 SIGNATURE = 0.6
+#: Members of a block in the exact rest.
+BLOCK = 512
 #: Words a worker remembers, and shingles hashed at a time.
 MEMO, CHUNK = 500_000, 256
 SET = np.dtype("<u8")
@@ -131,16 +134,38 @@ class Corpus:
         width = 4 * ROWS
         bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("minima", k * width + 1, F.lit(width))))
         buckets = self.classes.select("key", F.explode(bands).alias("band"))
-        hubs = buckets.groupBy("band").agg(F.min("key").alias("hub"), F.count("*").alias("size")).where("size > 1").drop("size")
-        self.members = materialise(buckets.join(hubs, "band"), "buckets")
+        sizes = buckets.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+        shared = materialise(buckets.join(sizes, "band"), "buckets")
+        meets = shared.groupBy("key").agg(F.sum("size").alias("meets"))
+        central = F.max_by("key", F.struct("meets", "key"))
+        hubs = shared.join(meets, "key").groupBy("band").agg(central.alias("hub"), F.min_by("key", F.xxhash64("key", "band")).alias("other"))
+        self.members = materialise(shared.join(hubs, "band").select("band", "key", "hub", "other"), "members")
 
     def tested(self, pairs: DataFrame) -> DataFrame:
-        """a, b, d (distance), near: the pairs (a < b, distinct) that signatures don't sort out, tested on their full sets."""
+        """a, b, near: the pairs (a < b, distinct) that signatures don't sort out, tested on their full sets."""
         m = self.classes.select("key", "minima")
         own = pairs.join(m.withColumnRenamed("key", "b").withColumnRenamed("minima", "mb"), "b")
         own = own.join(m.withColumnRenamed("key", "a").withColumnRenamed("minima", "ma"), "a").select("a", "b", "ma", "mb")
         left = materialise(agreement(own), "candidates")
         keys = left.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        full = self.full_sets(keys)
+        percent = self.percent
+
+        def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                near = []
+                for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                    x, y = (np.frombuffer(v.as_py(), dtype=SET) for v in (x, y))
+                    both = shared_size(x, y)
+                    whole = len(x) + len(y) - both
+                    near.append(100 * both >= percent * whole)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], names=["a", "b", "near"])
+
+        both = left.join(full.withColumnRenamed("key", "b").withColumnRenamed("s", "sb"), "b").join(full.withColumnRenamed("key", "a").withColumnRenamed("s", "sa"), "a")
+        return materialise(both.select("a", "b", "sa", "sb").mapInArrow(exact, "a binary, b binary, near boolean"), "tests")
+
+    def full_sets(self, keys: DataFrame) -> DataFrame:
+        """key, s: the whole sets of the classes in keys, made again from the text of one row of each."""
         wanted = self.classes.join(keys, "key", "left_semi").select("rid")
         texts = self.docs.join(few(wanted), "rid", "left_semi").select("text")
         size = self.size
@@ -158,55 +183,67 @@ class Corpus:
                             seen.add(key)
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.binary()), pa.array([s for _, s in out], pa.binary())], names=["key", "s"])
 
-        full = materialise(texts.mapInArrow(sets, "key binary, s binary").dropDuplicates(["key"]), "shingles")
-        percent = self.percent
+        return materialise(texts.mapInArrow(sets, "key binary, s binary").dropDuplicates(["key"]), "shingles")
 
-        def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                d, near = [], []
-                for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                    x, y = (np.frombuffer(v.as_py(), dtype=SET) for v in (x, y))
-                    both = shared_size(x, y)
-                    whole = len(x) + len(y) - both
-                    d.append(1 - both / whole)
-                    near.append(100 * both >= percent * whole)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d, pa.float64()), pa.array(near, pa.bool_())], names=["a", "b", "d", "near"])
-
-        both = left.join(full.withColumnRenamed("key", "b").withColumnRenamed("s", "sb"), "b").join(full.withColumnRenamed("key", "a").withColumnRenamed("s", "sa"), "a")
-        return materialise(both.select("a", "b", "sa", "sb").mapInArrow(exact, "a binary, b binary, d double, near boolean"), "tests")
-
-    def remaining(self, labels: DataFrame, tests: DataFrame, hubs_only: bool) -> DataFrame:
-        """a, b of one bucket each that lie in different components and aren't known to be near or far yet."""
+    def rest(self, labels: DataFrame) -> DataFrame:
+        """a, b: links that join components of members of one bucket (or of buckets that share members)."""
         own = self.members.join(labels, "key", "left").select("band", "key", "hub", F.coalesce("label", "key").alias("label"))
-        own = own.join(tests.select(F.col("a").alias("hub"), F.col("b").alias("key"), "d"), ["hub", "key"], "left")
-        own = own.withColumn("d", F.when(F.col("hub") == F.col("key"), 0.0).otherwise(F.col("d")))
         mixed = own.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
-        own = materialise(own.join(mixed, "band", "left_semi").drop("hub"), "mixed")
-        if hubs_only:
-            least = F.min_by(F.struct("key", "d"), F.col("key"))
-            left = own.groupBy("band", "label").agg(least.alias("m")).select("band", "label", "m.key", "m.d")
-        else:
-            left = own
-        far = (100 - self.percent) / 100 + 1e-9
-        # two members whose distances to their hub differ by more than far are farther than that from each other; null: not known
-        pairs = left.alias("x").join(own.alias("y"), F.expr(f"x.band = y.band and x.label <> y.label and coalesce(abs(x.d - y.d) <= {far}, true)" + ("" if hubs_only else " and x.key < y.key")))
-        pairs = pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
-        return pairs.join(tests.select("a", "b"), ["a", "b"], "left_anti")
-
-    def components(self) -> tuple[DataFrame, DataFrame]:
-        """key, label of every class that has a link, and the links that were found: a, b."""
-        star = self.members.where("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
-        tests = self.tested(star)
-        labels = label_components(tests.where("near").select("a", "b"))
-        for hubs_only in (True, False):
-            more = materialise(self.remaining(labels, tests, hubs_only), "pairs")
-            if more.isEmpty():
-                continue
-            found = self.tested(more)
-            tests = tests.unionByName(found)
-            if not found.where("near").isEmpty():
-                labels = label_components(tests.where("near").select("a", "b"))
-        return labels, tests.where("near").select("a", "b")
+        own = materialise(own.join(mixed, "band", "left_semi"), "mixed")
+        groups = label_components(own.select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()).withColumnRenamed("label", "group")
+        parts = own.select("key", "label").distinct().join(groups, "key")
+        sizes = parts.groupBy("group", "label").agg(F.count("*").alias("n"))
+        main = sizes.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("largest"))
+        width = lambda n: F.ceil(n / BLOCK).cast("int")
+        parts = parts.join(main, "group").select("group", "key", "label", (F.col("label") != F.col("main")).alias("poor"), width(F.col("all")).alias("ja"), width(F.col("all") - F.col("largest")).alias("jp"))
+        parts = materialise(parts, "groups")
+        block = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
+        upto = lambda n: F.sequence(F.lit(0), n - 1)
+        left = parts.where("poor").select("group", block(F.col("jp")).alias("i"), F.explode(upto(F.col("ja"))).alias("j"), "key", "label", F.lit(True).alias("poor"))
+        right = parts.select("group", F.explode(upto(F.col("jp"))).alias("i"), block(F.col("ja")).alias("j"), "key", "label", F.lit(False).alias("poor"))
+        full = self.full_sets(parts.select("key")).join(self.classes.select("key", "minima"), "key")
+        percent = self.percent
+
+        def compare(table: pa.Table) -> pa.Table:
+            poor = np.array(table.column("poor").to_pylist(), dtype=bool)
+            keys, labels = table.column("key").to_pylist(), table.column("label").to_pylist()
+            minima = np.frombuffer(b"".join(table.column("minima").to_pylist()), dtype="<u4").reshape(-1, HASHES)
+            sets = [np.frombuffer(x, dtype=SET) for x in table.column("s").to_pylist()]
+            root = {x: x for x in labels}
+
+            def find(x: bytes) -> bytes:
+                while root[x] != x:
+                    root[x] = x = root[root[x]]
+                return x
+
+            out, others = [], np.flatnonzero(~poor)
+            for p in np.flatnonzero(poor):
+                agree = (minima[others] == minima[p]).sum(axis=1)
+                near = np.flatnonzero(agree >= SIGNATURE * HASHES)
+                for q in others[near[np.argsort(-agree[near], kind="stable")]]:
+                    x, y = find(labels[p]), find(labels[q])
+                    if x == y:
+                        continue
+                    small, large = sorted((len(sets[p]), len(sets[q])))
+                    if 100 * small < percent * large:
+                        continue
+                    both = shared_size(sets[p], sets[q])
+                    if 100 * both >= percent * (small + large - both):
+                        root[max(x, y)] = min(x, y)
+                        out.append((min(keys[p], keys[q]), max(keys[p], keys[q])))
+            return pa.table([pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], names=["a", "b"])
+
+        both = left.unionByName(right).join(full, "key")
+        return materialise(both.groupBy("group", "i", "j").applyInArrow(compare, "a binary, b binary").distinct(), "rest")
+
+    def components(self) -> DataFrame:
+        """key, label of every class that is linked with another."""
+        m = self.members
+        pairs = [m.where(F.col("key") != F.col(h)).select(F.least("key", h).alias("a"), F.greatest("key", h).alias("b")) for h in ("hub", "other")]
+        links = self.tested(pairs[0].unionByName(pairs[1]).distinct()).where("near").select("a", "b")
+        labels = label_components(links)
+        more = self.rest(labels)
+        return labels if more.isEmpty() else label_components(links.unionByName(more))
 
 
 def label_components(edges: DataFrame) -> DataFrame:
@@ -231,22 +268,20 @@ def prepare(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, n_shingles, component_id (the least id of its component), kept, n_links.
+    """One row for each row of docs: doc_id, n_shingles, component_id (the least id of its component), kept.
 
     Texts with fewer words than size have the whole sequence as one shingle; texts without a word (empty, null) have
-    none, are linked with nothing and are their own component. Rows with equal sets are one class; n_links is the number
-    of links of its class with others that were tested and found. A null id is no least id while there is another;
-    kept is null-safe. Repeated rows get equal results.
+    none, are linked with nothing and are their own component. Rows with equal sets are one class. A null id is no least
+    id while there is another; kept is null-safe. Repeated rows get equal results.
     """
     corpus = Corpus(prepare(docs, id_col, text_col), size, percent)
-    labels, links = corpus.components()
-    degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
+    labels = corpus.components()
     of = corpus.classes.select("key", "id").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     least = of.groupBy("label").agg(F.min("id").alias("component_id"))
-    of = of.join(least, "label").select("key", "component_id").join(degree, "key", "left")
+    of = of.join(least, "label").select("key", "component_id")
     out = corpus.rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "key").join(of, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,7 +291,7 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_co
     """
     flat = prepare(docs, id_col, text_col)
     corpus = Corpus(flat, size, percent)
-    labels, _ = corpus.components()
+    labels = corpus.components()
     of = corpus.classes.select("key").join(labels, "key", "left").select("key", F.coalesce("label", "key").alias("label"))
     rows = corpus.rows.where("n > 0").select("rid", "id", "key").join(of, "key").select("rid", "id", "label")
     best = rows.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("m")).select("label", F.col("m.rid").alias("best"))
