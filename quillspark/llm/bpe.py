@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 
 #: Stands for the end mark: no character of the byte alphabet.
 END = "\ue000"
-#: Distinct cuts a worker remembers before it starts anew.
-MEMO = 300_000
+#: Entries of each half of a worker's tables of known cuts and words.
+MEMO = 150_000
 #: Python's str.split() also parts at these, which are no white space to the tokenizer.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 SPACE = regex.compile(r"[\s--[\x1c-\x1f]]+", regex.V1)
@@ -120,6 +120,23 @@ class PrefixBpe:
         return out[::-1]
 
 
+class Memo:
+    """A bounded table that forgets what was not asked for lately: when the young half is full, it becomes the old one."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, key: str):
+        if (found := self.young.get(key)) is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key: str, value) -> None:
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class WordEncoder:
     """Encodes and decodes texts as the file's tokenizer does: NFC, white space dropped, lower case, split, BPE."""
 
@@ -132,35 +149,38 @@ class WordEncoder:
         self.bpe = PrefixBpe(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]], model.get("end_of_word_suffix") or "")
         self.vocab = model["vocab"]
         self.alphabet = byte_alphabet()
-        self.memo: dict[str, tuple[bytes, str]] = {}
-
-    def pieces(self, text: str) -> list[tuple[int, str]]:
-        """Ids and tokens of a cut that holds no white space, or of any text."""
-        out = []
-        for part in self.special_at.split(text) if self.special_at else [text]:
-            if part in self.special:
-                out.append((self.special[part], part))
-                continue
-            plain = part if part.isascii() else unicodedata.normalize("NFC", part)
-            plain = plain.lower() if plain.isascii() else "".join(map(str.lower, plain))
-            for word in self.split.findall(plain):
-                out += [(self.vocab[t], t) for t in self.bpe.encode("".join([self.alphabet[b] for b in word.encode()]))]
-        return out
+        self.cuts, self.words = Memo(MEMO), Memo(MEMO)
+
+    def word(self, word: str) -> tuple[bytes, str]:
+        """Ids and tokens of a pre-token; words without the punctuation around them recur far more often than cuts."""
+        if (known := self.words.get(word)) is None:
+            found = self.bpe.encode("".join([self.alphabet[b] for b in word.encode()]))
+            known = b"".join([self.vocab[t].to_bytes(4, "little") for t in found]), "".join([" " + t for t in found])
+            if len(word) <= 64:
+                self.words.put(word, known)
+        return known
 
     def cut(self, part: str) -> tuple[bytes, str]:
-        if (known := self.memo.get(part)) is None:
-            found = self.pieces(part)
-            known = b"".join(i.to_bytes(4, "little") for i, _ in found), "".join(" " + t for _, t in found)
+        """Ids and tokens of a text without white space."""
+        if (known := self.cuts.get(part)) is None:
+            found = []
+            for text in self.special_at.split(part) if self.special_at else [part]:
+                if text in self.special:
+                    found.append((self.special[text].to_bytes(4, "little"), " " + text))
+                elif text:
+                    plain = text if text.isascii() else unicodedata.normalize("NFC", text)
+                    plain = plain.lower() if plain.isascii() else "".join(map(str.lower, plain))
+                    found += map(self.word, self.split.findall(plain))
+            known = b"".join([a for a, _ in found]), "".join([b for _, b in found])
             if len(part) <= 64:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[part] = known
+                self.cuts.put(part, known)
         return known
 
     def text(self, text: str) -> tuple[bytes, str]:
         """All ids as little-endian 32-bit integers, and the decoded text: tokens with a blank between, as there is no decoder."""
         parts = SPACE.split(text) if SEPARATORS.search(text) else text.split()
-        cuts = [self.cut(p) for p in parts if p]
+        young, cut = self.cuts.young, self.cut
+        cuts = [young.get(p) or cut(p) for p in parts if p]
         return b"".join([c[0] for c in cuts]), "".join([c[1] for c in cuts])[1:]
 
 
