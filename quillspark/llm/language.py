@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from quillspark.llm.common import held_out, read_table, sample_order
 
 #: Bounds of the training sample.
-PER_LANGUAGE, MAX_LANGUAGES = 1000, 64
+PER_LANGUAGE, MAX_LANGUAGES = 400, 64
 #: Hash buckets of n-grams.
 BUCKETS = 1 << 13
 #: Language code -> family. A code that isn't listed is a family of its own.
@@ -51,8 +51,11 @@ def features(text: str) -> np.ndarray:
 
 
 def train_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 150) -> np.ndarray:
-    """A linear SVM with squared hinge loss and a bias as last weight, by accelerated gradient steps; y is 1 or -1. Deterministic."""
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32) * c
+    """A linear SVM with squared hinge loss and a bias as last weight, by accelerated gradient steps. Deterministic.
+
+    y is 1, -1, or 0 for rows that don't take part (so that no part of x is copied).
+    """
+    weight = np.select([y > 0, y < 0], [0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())]).astype(np.float32) * np.float32(c)
     w = np.zeros(x.shape[1] + 1, dtype=np.float32)
     v, step = w.copy(), np.float32(1 / (1 + 4 * c))
     for k in range(rounds):
@@ -76,8 +79,7 @@ class LanguageModel:
         rows = [train_svm(x, np.where(of == f, 1, -1).astype(np.float32)) for f in range(len(self.families))] if len(self.families) > 1 else []
         self.pairs = [p for m in self.members for p in combinations(m, 2)]
         for a, b in self.pairs:
-            own = (y == a) | (y == b)
-            rows.append(train_svm(x[own], np.where(y[own] == a, 1, -1).astype(np.float32)))
+            rows.append(train_svm(x, np.select([y == a, y == b], [1, -1]).astype(np.float32)))
         self.weights = np.array(rows, dtype=np.float32).reshape(len(rows), BUCKETS + 1)
 
     def predict(self, x: np.ndarray) -> tuple[int, float]:
@@ -110,20 +112,20 @@ def fit(docs: DataFrame, text_col: str, lang_col: str, order: list[str], per_lan
         for batch in batches:
             found = [features(t.as_py() or "") for t in batch.column(2)]
             at = [np.flatnonzero(v) for v in found]
-            arrays = [pa.array([f(v, k) for v, k in zip(found, at, strict=True)], kind) for f, kind in ((lambda v, k: k.astype(np.int16), pa.list_(pa.int16())), (lambda v, k: v[k], pa.list_(pa.float32())))]
+            arrays = [pa.array([k.astype(np.int16).tobytes() for k in at], pa.binary()), pa.array([v[k].tobytes() for v, k in zip(found, at, strict=True)], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["o", "lang", "at", "v"])
 
     chosen = docs.withColumn("__order", sample_order(*order)).where(share).select("__order", lang_col, text_col)
-    rows = sorted(chosen.mapInArrow(run, "o long, lang string, at array<short>, v array<float>").collect(), key=lambda r: (r.lang, r.o, r["at"]))
+    found = chosen.mapInArrow(run, "o long, lang string, at binary, v binary").toArrow()
     languages, kept, seen = sorted(sizes), [], {}
-    for r in rows:
-        seen[r.lang] = seen.get(r.lang, 0) + 1
-        if seen[r.lang] <= per_language and r["at"]:
-            kept.append(r)
+    for lang, o, at, v in sorted(zip(*[found.column(c).to_pylist() for c in ("lang", "o", "at", "v")], strict=True)):
+        seen[lang] = seen.get(lang, 0) + 1
+        if seen[lang] <= per_language and at:
+            kept.append((lang, at, v))
     x = np.zeros((len(kept), BUCKETS), dtype=np.float32)
-    for k, r in enumerate(kept):
-        x[k, np.array(r["at"], dtype=np.int64)] = r.v
-    return LanguageModel(languages, x, np.array([languages.index(r.lang) for r in kept], dtype=np.int64))
+    for k, (_, at, v) in enumerate(kept):
+        x[k, np.frombuffer(at, dtype=np.int16)] = np.frombuffer(v, dtype=np.float32)
+    return LanguageModel(languages, x, np.array([languages.index(lang) for lang, _, _ in kept], dtype=np.int64))
 
 
 def identify(docs: DataFrame, train: DataFrame, text_col: str = "text", lang_col: str = "lang", order: list[str] | None = None, label: str = "lang_pred", score: str = "score") -> DataFrame:
