@@ -5,7 +5,7 @@
    member that meets most others over all bands (in a group of edited copies the one nearest to the original) and one
    chosen by hash. Signatures sort out pairs far below the threshold, and full shingle sets decide the others.
 3. Links give components. Where a bucket's members still lie in several components, the rest is exact: members outside
-   their group's largest component are compared with the whole group, block by block. A task gets two bounded blocks with
+   the largest component of their group (see Corpus.rest) are compared with the whole group, block by block. A task gets two bounded blocks with
    signatures and sets, skips pairs that its own links have joined by then, and returns links that join components, so
    fewer than it has members. So every two classes of a bucket lie in one component or are below the threshold.
 
@@ -30,6 +30,9 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 #: Least share of equal minima: 6 standard deviations below 0.8.
 SIGNATURE = 0.6
+#: Share from which a member belongs to its hub's group, and up to which it (also) belongs to its bucket's own: a member
+#: below the first and a near duplicate of it can't be more than 0.2 apart in similarity to the hub; 0.1 is for chance.
+LOOSE, FAR = 0.4, 0.7
 #: Members of a block in the exact rest.
 BLOCK = 512
 #: Words a worker remembers, and shingles hashed at a time.
@@ -112,15 +115,15 @@ def with_sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def agreement(pairs: DataFrame) -> DataFrame:
-    """a, b of the pairs (a, b, ma, mb: minima) whose signatures agree in at least a share SIGNATURE."""
+    """a, b, share of the pairs (a, b, ma, mb: minima): how many of their minima agree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype="<u4").reshape(-1, HASHES) for k in (2, 3))
-                yield batch.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= SIGNATURE * HASHES))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array((x == y).mean(axis=1), pa.float64())], names=["a", "b", "share"])
 
-    return pairs.mapInArrow(run, "a binary, b binary")
+    return pairs.mapInArrow(run, "a binary, b binary, share double")
 
 
 class Corpus:
@@ -142,11 +145,12 @@ class Corpus:
         self.members = materialise(shared.join(hubs, "band").select("band", "key", "hub", "other"), "members")
 
     def tested(self, pairs: DataFrame) -> DataFrame:
-        """a, b, near: the pairs (a < b, distinct) that signatures don't sort out, tested on their full sets."""
+        """a, b, near: the pairs (a < b, distinct) that signatures don't sort out, tested on their full sets. Sets shares."""
         m = self.classes.select("key", "minima")
         own = pairs.join(m.withColumnRenamed("key", "b").withColumnRenamed("minima", "mb"), "b")
         own = own.join(m.withColumnRenamed("key", "a").withColumnRenamed("minima", "ma"), "a").select("a", "b", "ma", "mb")
-        left = materialise(agreement(own), "candidates")
+        self.shares = materialise(agreement(own), "shares")
+        left = self.shares.where(F.col("share") >= SIGNATURE).select("a", "b")
         keys = left.select(F.explode(F.array("a", "b")).alias("key")).distinct()
         full = self.full_sets(keys)
         percent = self.percent
@@ -186,22 +190,28 @@ class Corpus:
         return materialise(texts.mapInArrow(sets, "key binary, s binary").dropDuplicates(["key"]), "shingles")
 
     def rest(self, labels: DataFrame) -> DataFrame:
-        """a, b: links that join components of members of one bucket (or of buckets that share members)."""
+        """a, b: links that join components of members of one bucket.
+
+        Members that are similar to their bucket's hub form groups over all buckets, so that each pair is met once; what
+        only shares a passage with it stays in its bucket, lest common passages tie everything to everything.
+        """
         own = self.members.join(labels, "key", "left").select("band", "key", "hub", F.coalesce("label", "key").alias("label"))
         mixed = own.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
-        own = materialise(own.join(mixed, "band", "left_semi"), "mixed")
-        groups = label_components(own.select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()).withColumnRenamed("label", "group")
-        parts = own.select("key", "label").distinct().join(groups, "key")
+        own = own.join(mixed, "band", "left_semi").withColumn("a", F.least("key", "hub")).withColumn("b", F.greatest("key", "hub")).join(self.shares, ["a", "b"], "left")
+        own = materialise(own.select("band", "key", "hub", "label", F.when(F.col("key") == F.col("hub"), 1.0).otherwise(F.coalesce("share", F.lit(0.0))).alias("share")), "mixed")
+        groups = label_components(own.where(F.col("share") >= LOOSE).select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()).withColumnRenamed("label", "group")
+        parts = own.select("key", "label").distinct().join(groups, "key").select("group", "key", "label")
+        parts = parts.unionByName(own.where(F.col("share") < FAR).select(F.col("band").cast("string").cast("binary").alias("group"), "key", "label"))
         sizes = parts.groupBy("group", "label").agg(F.count("*").alias("n"))
         main = sizes.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("largest"))
         width = lambda n: F.ceil(n / BLOCK).cast("int")
         parts = parts.join(main, "group").select("group", "key", "label", (F.col("label") != F.col("main")).alias("poor"), width(F.col("all")).alias("ja"), width(F.col("all") - F.col("largest")).alias("jp"))
-        parts = materialise(parts, "groups")
+        parts = materialise(parts.where("ja > 0 and jp > 0"), "groups")
         block = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
         upto = lambda n: F.sequence(F.lit(0), n - 1)
         left = parts.where("poor").select("group", block(F.col("jp")).alias("i"), F.explode(upto(F.col("ja"))).alias("j"), "key", "label", F.lit(True).alias("poor"))
         right = parts.select("group", F.explode(upto(F.col("jp"))).alias("i"), block(F.col("ja")).alias("j"), "key", "label", F.lit(False).alias("poor"))
-        full = self.full_sets(parts.select("key")).join(self.classes.select("key", "minima"), "key")
+        full = self.full_sets(parts.select("key").distinct()).join(self.classes.select("key", "minima"), "key")
         percent = self.percent
 
         def compare(table: pa.Table) -> pa.Table:
