@@ -238,6 +238,13 @@ def test_html(spark):
     assert len(got) == len(rows) and {r.page_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got)
 
 
+def test_html_runs_decide_beside_articles(spark):
+    body = "<article><p>story {0}</p></article><div>{0}a {0}b {0}c</div><main><p>Our offices are closed on the last Friday of May</p><p>{0}d {0}e</p></main>"
+    rows = [(k, f"http://h/{k}", PAGE.format(body.format(f"n{k}"))) for k in range(4)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"story n{k} n{k}a n{k}b n{k}c n{k}d n{k}e" for k in range(4)}
+
+
 def base_counts(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
     c = collections.Counter(zip(w, w[1:], w[2:]))
