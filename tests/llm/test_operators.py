@@ -245,6 +245,15 @@ def test_html_runs_decide_beside_articles(spark):
     assert got == {k: f"story n{k} n{k}a n{k}b n{k}c n{k}d n{k}e" for k in range(4)}
 
 
+def test_html_runs_cross_shards(spark):
+    own = lambda k: " ".join(f"n{k}w{i}" for i in range(9))
+    notice = "Our offices are closed on the last Friday of May"
+    rows = [(k, f"http://h/{k}", f"<p>{own(k)}</p>" + (f"<div>{notice}</div>" if k % 100 == 7 else "")) for k in range(300)]
+    rows += [(1000 + k, "http://copies/", f"<p>{own(0)}</p>") for k in range(200)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: own(k) for k in range(300)} | {1000 + k: own(0) for k in range(200)}
+
+
 def base_counts(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
     c = collections.Counter(zip(w, w[1:], w[2:]))
