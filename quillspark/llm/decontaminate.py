@@ -61,7 +61,7 @@ def block_keys(fingerprint: Column, radius: int) -> Column:
 def prepare_items(items: DataFrame, shingle: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
     """item_id, n (words), hash, shingles (h, c: count, w: weight), weight (of all), need (least hits), places of items with enough words.
 
-    A shingle's weight is one over the number of items that have it. Items that repeat an id are taken one by one.
+    A shingle's weight is one over the number of items that have it; find_leaks weighs what replaces it alike. Items that repeat an id are taken one by one.
     """
     own = with_tokens(items.select(items[id_col].alias("item_id"), items[text_col].alias("text")), "text", "t").where((F.size("t") >= shingle) & (F.size("t") < 1 << 16))
     own = own.select("item_id", F.size("t").alias("n"), F.xxhash64("text").alias("item"), shingle_hashes("t", shingle).alias("h"), F.transform("t", lambda x: F.xxhash64(x)).alias("f"))
@@ -110,17 +110,31 @@ def find_leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, thresh
     near = near.select("a.doc_id", "a.doc", "a.n", "a.start", "b.item_id", "b.item").distinct().alias("c")
     pairs = near.join(prints.alias("a"), F.expr("c.doc = a.doc and c.doc_id <=> a.doc_id and c.n = a.n and c.start = a.start")).select("c.*", "a.h")
     pairs = pairs.alias("c").join(few(known).alias("b"), F.expr("c.item = b.item and c.item_id <=> b.item_id")).select("c.doc_id", "c.start", "c.item_id", "c.h", "b.shingles", "b.weight")
-    # weighted Jaccard: shared weight against all weight; shingles that the item doesn't have weigh 1
-    zero = F.struct(F.lit(0.0).alias("both"), F.lit(0.0).alias("own"))
-    sums = F.aggregate(
-        "shingles",
-        zero,
-        lambda a, s: F.struct(
-            (a["both"] + s["w"] * F.least(s["c"], F.size(F.filter(F.col("h"), lambda x: x == s["h"])))).alias("both"),
-            (a["own"] + (1 - s["w"]) * F.size(F.filter(F.col("h"), lambda x: x == s["h"]))).alias("own"),
-        ),
-    )
-    scored = pairs.withColumn("s", sums).withColumn("sim", F.col("s.both") / (F.col("weight") + F.size("h") - F.col("s.own") - F.col("s.both")))
+    # weighted Jaccard: shared weight against all weight. Shingles that the item doesn't have weigh, each, what the item's missing ones weigh on average
+    entry = lambda h, c, w, side: F.struct(h.alias("h"), F.lit(side).alias("side"), c.cast("int").alias("c"), w.alias("w"))
+    both = F.concat(F.transform("shingles", lambda s: entry(s["h"], s["c"], s["w"], 0)), F.transform("h", lambda x: entry(x, F.lit(0), F.lit(0.0), 1)))
+    state = {"h": F.lit(0).cast("long"), "c": F.lit(-1), "w": F.lit(0.0), "both": F.lit(0.0), "own": F.lit(0.0), "n_both": F.lit(0), "n_own": F.lit(0), "n_item": F.lit(0)}
+
+    def step(a: Column, e: Column) -> Column:
+        # an item's shingle comes before the window's equal ones; c counts down how many are left to share
+        item, same = e["side"] == 0, (a["c"] >= 0) & (a["h"] == e["h"])
+        known, shared = ~item & same, ~item & same & (a["c"] > 0)
+        new = {
+            "h": e["h"],
+            "c": F.when(item, e["c"]).when(shared, a["c"] - 1).when(same, F.lit(0)).otherwise(F.lit(-1)),
+            "w": F.when(item, e["w"]).otherwise(a["w"]),
+            "both": a["both"] + F.when(shared, a["w"]).otherwise(F.lit(0.0)),
+            "own": a["own"] + F.when(known, a["w"]).otherwise(F.lit(0.0)),
+            "n_both": a["n_both"] + shared.cast("int"),
+            "n_own": a["n_own"] + known.cast("int"),
+            "n_item": a["n_item"] + F.when(item, e["c"]).otherwise(F.lit(0)),
+        }
+        return F.struct(*[v.alias(k) for k, v in new.items()])
+
+    sums = F.aggregate(F.array_sort(both), F.struct(*[v.alias(k) for k, v in state.items()]), step)
+    scored = pairs.withColumn("s", F.explode(F.array(sums)))
+    scale = F.when(F.col("s.n_item") > F.col("s.n_both"), F.least(F.lit(1.0), (F.col("weight") - F.col("s.both")) / (F.col("s.n_item") - F.col("s.n_both")))).otherwise(F.lit(1.0))
+    scored = scored.withColumn("sim", F.col("s.both") / (F.col("weight") + F.col("s.own") + (F.size("h") - F.col("s.n_own")) * scale - F.col("s.both")))
     found = scored.where(F.col("sim") >= threshold - 1e-12)
     best = F.max_by(F.col("start"), F.struct(F.round("sim", 9), -F.col("start")))
     return found.groupBy("doc_id", "item_id").agg(F.max("sim").alias("similarity"), best.alias("start"), F.countDistinct("start").alias("n_windows"))

@@ -190,6 +190,17 @@ def test_decontamination(spark, odd, empty):
     assert decontaminate.find_leaks(df, bench.where("false")).count() == 0
 
 
+def test_edited_leaks_of_shared_items(spark):
+    words = [f"w{k}" for k in range(59)]
+    edited = " ".join([*words[:30], "changed", *words[31:]])
+    template = [f"t{k}" for k in range(50)]
+    items = [(1, " ".join(words)), (2, " ".join(words)), *[(10 + k, " ".join([*template, *(f"i{k}x{m}" for m in range(6))])) for k in range(9)]]
+    filled = " ".join([*template[:25], "changed", *template[26:], *(f"i3x{m}" for m in range(6))])
+    df = spark.createDataFrame([(1, edited), (2, filled)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.find_leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got.keys() == {(1, 1), (1, 2), (2, 13)} and abs(got[1, 1] - 50 / 60) < 1e-9 and got[2, 13] > 0.8
+
+
 def test_toxicity(spark, odd, empty):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit(docs, labels)
