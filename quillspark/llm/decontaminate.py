@@ -1,6 +1,6 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact weighted-shingle similarity.
 
-A window as long as an item counts as a leak if its fingerprint is within RADIUS bits of the item's and their weighted
+A window as long as an item, or a shorter document as a whole, counts as a leak if its fingerprint is within RADIUS bits of the item's and their weighted
 Jaccard similarity over SHINGLE-word shingles is at least THRESHOLD. Fingerprints are cut into RADIUS + 1 blocks; two of
 them within RADIUS bits agree in one block at least, so the join on (length, block, value) finds all of them.
 
@@ -34,17 +34,22 @@ def shingle_hashes(tokens: str, size: int) -> Column:
 def with_simhash(df: DataFrame, features: str, out: str = "hash") -> DataFrame:
     """df with the 64-bit SimHash of an array column of hashes, each occurrence with weight 1; a tie of a bit gives 0.
 
-    Sixteen sums, each with four counters of 16 bits, so at most 65,535 features; they are made once per row, before the bits.
+    Sixteen sums, each with four counters of 16 bits, or for more than 65,535 features 64 sums; they are made once per row, before the bits.
     """
     f = F.col(features)
 
     def counters(g: int) -> Column:
         return F.aggregate(f, F.lit(0).cast("long"), lambda a, x: a + F.shiftrightunsigned(x, g).bitwiseAND(F.lit(0x0001000100010001)))
 
-    df = df.withColumn("__c", F.explode(F.array(F.array(*[counters(g) for g in range(16)]))))
+    def single(bit: int) -> Column:
+        return F.aggregate(f, F.lit(0).cast("long"), lambda a, x: a + F.shiftrightunsigned(x, bit).bitwiseAND(F.lit(1)))
+
+    long = F.size(f) > 0xFFFF
+    df = df.withColumn("__c", F.explode(F.array(F.when(long, F.array(*[single(b) for b in range(64)])).otherwise(F.array(*[counters(g) for g in range(16)])))))
     bits = F.lit(0).cast("long")
     for bit in range(64):
-        many = 2 * F.shiftrightunsigned(F.get("__c", F.lit(bit % 16)), 16 * (bit // 16)).bitwiseAND(F.lit(0xFFFF)) > F.size(f)
+        packed = F.shiftrightunsigned(F.get("__c", F.lit(bit % 16)), 16 * (bit // 16)).bitwiseAND(F.lit(0xFFFF))
+        many = 2 * F.when(long, F.get("__c", F.lit(bit))).otherwise(packed) > F.size(f)
         value = (1 << bit) if bit < 63 else -(1 << 63)
         bits = bits.bitwiseOR(F.when(many, F.lit(value).cast("long")).otherwise(F.lit(0).cast("long")))
     return df.withColumn(out, bits).drop("__c")
@@ -63,7 +68,7 @@ def prepare_items(items: DataFrame, shingle: int, threshold: float, id_col: str,
 
     A shingle's weight is one over the number of items that have it; find_leaks weighs what replaces it alike. Items that repeat an id are taken one by one.
     """
-    own = with_tokens(items.select(items[id_col].alias("item_id"), items[text_col].alias("text")), "text", "t").where((F.size("t") >= shingle) & (F.size("t") < 1 << 16))
+    own = with_tokens(items.select(items[id_col].alias("item_id"), items[text_col].alias("text")), "text", "t").where(F.size("t") >= shingle)
     own = own.select("item_id", F.size("t").alias("n"), F.xxhash64("text").alias("item"), shingle_hashes("t", shingle).alias("h"), F.transform("t", lambda x: F.xxhash64(x)).alias("f"))
     own = with_simhash(own.dropDuplicates(["item_id", "item"]), "f").drop("f")
     flat = own.select("item_id", "item", F.explode("h").alias("h")).groupBy("item_id", "item", "h").agg(F.count("*").alias("c"))
@@ -76,7 +81,7 @@ def prepare_items(items: DataFrame, shingle: int, threshold: float, id_col: str,
 def find_leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, similarity, start, n_windows: one row for each document and item of which it has a leaking window.
 
-    similarity: the largest of any window, and start its place in words, the first on ties; n_windows: windows that leak.
+    A document with fewer words than an item is one window for it. similarity: the largest of any window, and start its place in words, the first on ties; n_windows: windows that leak.
     Null or short texts, and items of fewer than shingle words, leak nothing. Rows that share an id are judged one by one
     and reported once, with the best window of any; a row without an id is reported with a null id.
     """
@@ -99,7 +104,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, thresh
     ids = starts.select(F.col("doc").alias("__doc")).distinct()
     texts = with_tokens(flat.join(few(ids), F.col("doc") == F.col("__doc"), "left_semi"), "text", "t").dropDuplicates(["doc_id", "doc"])
     rows = texts.alias("a").join(starts.alias("b"), F.expr("a.doc = b.doc and a.doc_id <=> b.doc_id")).select("a.doc_id", "a.doc", "a.t", "b.n", "b.starts")
-    cut = rows.select("doc_id", "doc", "n", "t", F.explode("starts").alias("start")).where(F.col("start") + F.col("n") <= F.size("t"))
+    cut = rows.select("doc_id", "doc", "n", "t", F.explode("starts").alias("start")).where((F.col("start") + F.col("n") <= F.size("t")) | ((F.col("start") == 0) & (F.size("t") < F.col("n"))))
     cut = cut.select("doc_id", "doc", "n", "start", F.slice("t", F.col("start") + 1, F.col("n")).alias("t"))
     cut = cut.withColumn("f", F.explode(F.array(F.transform("t", lambda x: F.xxhash64(x)))))
     prints = with_simhash(cut, "f").select("doc_id", "doc", "n", "start", "hash", shingle_hashes("t", shingle).alias("h"))

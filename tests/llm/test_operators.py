@@ -201,6 +201,13 @@ def test_edited_leaks_of_shared_items(spark):
     assert got.keys() == {(1, 1), (1, 2), (2, 13)} and abs(got[1, 1] - 50 / 60) < 1e-9 and got[2, 13] > 0.8
 
 
+def test_leaks_of_longer_items(spark):
+    words, many = [f"w{k}" for k in range(59)], " ".join(f"m{k}" for k in range(1 << 16))
+    df = spark.createDataFrame([(1, " ".join([*words[:30], *words[31:]])), (2, many), (3, " ".join(words[:40]))], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start) for r in decontaminate.find_leaks(df, spark.createDataFrame([(1, " ".join(words)), (2, many)], "item_id long, text string")).collect()}
+    assert got.keys() == {(1, 1), (2, 2)} and abs(got[1, 1][0] - 50 / 59) < 1e-9 and got[1, 1][1] == 0 and abs(got[2, 2][0] - 1) < 1e-9
+
+
 def test_toxicity(spark, odd, empty):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit(docs, labels)
