@@ -26,6 +26,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def norm(v):
     if isinstance(v, float):
         return repr(round(v, 6) + 0.0)
+    if isinstance(v, dict):
+        v = list(v.values())
     if isinstance(v, (list, tuple)):
         return "[" + ",".join(map(norm, v)) + "]"
     return repr(v)
