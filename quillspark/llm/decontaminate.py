@@ -146,4 +146,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, thresh
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """find_leaks of all documents and items. Null, empty and short texts and items leak nothing; repeated rows are reported once;
+    of windows that tie the first counts; an empty table on either side gives no row."""
     return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))

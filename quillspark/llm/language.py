@@ -4,8 +4,8 @@ Features are hashed byte n-grams of length 1 to 3 over the lower-cased letters o
 counts and unit length. Families part languages that are far from each other; within a family each pair of languages
 has its own machine, trained on those two alone, so that close relatives are told apart by what separates just them.
 
-Training takes a sample of labelled rows, PER_LANGUAGE of each language at most and MAX_LANGUAGES languages; prediction
-covers every row in one pass without a shuffle.
+Training takes a sample of labelled rows, PER_LANGUAGE of each language at most and SAMPLE in all, dealt evenly to all
+languages that occur, however many; prediction covers every row in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -16,14 +16,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm.common import held_out, read_table, sample_order
 
 #: Bounds of the training sample.
-PER_LANGUAGE, MAX_LANGUAGES = 400, 64
+PER_LANGUAGE, SAMPLE = 400, 12_800
 #: Hash buckets of n-grams.
 BUCKETS = 1 << 13
 #: Language code -> family. A code that isn't listed is a family of its own.
@@ -53,7 +53,7 @@ def features(text: str) -> np.ndarray:
 def train_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 150) -> np.ndarray:
     """A linear SVM with squared hinge loss and a bias as last weight, by accelerated gradient steps. Deterministic.
 
-    y is 1, -1, or 0 for rows that don't take part (so that no part of x is copied).
+    y is 1 or -1.
     """
     weight = np.select([y > 0, y < 0], [0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())]).astype(np.float32) * np.float32(c)
     w = np.zeros(x.shape[1] + 1, dtype=np.float32)
@@ -79,7 +79,8 @@ class LanguageModel:
         rows = [train_svm(x, np.where(of == f, 1, -1).astype(np.float32)) for f in range(len(self.families))] if len(self.families) > 1 else []
         self.pairs = [p for m in self.members for p in combinations(m, 2)]
         for a, b in self.pairs:
-            rows.append(train_svm(x, np.select([y == a, y == b], [1, -1]).astype(np.float32)))
+            own = np.flatnonzero((y == a) | (y == b))
+            rows.append(train_svm(x[own], np.where(y[own] == a, 1, -1).astype(np.float32)))
         self.weights = np.array(rows, dtype=np.float32).reshape(len(rows), BUCKETS + 1)
 
     def predict(self, x: np.ndarray) -> tuple[int, float]:
@@ -102,11 +103,11 @@ class LanguageModel:
 
 
 def fit(docs: DataFrame, text_col: str, lang_col: str, order: list[str], per_language: int = PER_LANGUAGE) -> LanguageModel:
-    """Train on at most per_language rows of each of the MAX_LANGUAGES most frequent languages; only sparse features reach the driver."""
-    sizes = {r[0]: r[1] for r in docs.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES).collect()}
-    share = F.lit(False)
-    for lang, n in sizes.items():
-        share = share | ((F.col(lang_col) == lang) & (F.lit(True) if n <= per_language else F.col("__order") < int(2**32 * per_language / n)))
+    """Train on at most per_language rows of each language and SAMPLE rows in all; only sparse features reach the driver."""
+    sizes = {r[0]: r[1] for r in docs.groupBy(lang_col).count().collect()}
+    per_language = max(1, min(per_language, SAMPLE // max(1, len(sizes))))
+    cuts = [(lang, 1 << 32 if n <= per_language else int(2**32 * per_language / n) + 1) for lang, n in sizes.items()]
+    cut = F.broadcast(docs.sparkSession.createDataFrame(cuts, "__lang string, __cut long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,7 +116,8 @@ def fit(docs: DataFrame, text_col: str, lang_col: str, order: list[str], per_lan
             arrays = [pa.array([k.astype(np.int16).tobytes() for k in at], pa.binary()), pa.array([v[k].tobytes() for v, k in zip(found, at, strict=True)], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["o", "lang", "at", "v"])
 
-    chosen = docs.withColumn("__order", sample_order(*order)).where(share).select("__order", lang_col, text_col)
+    ordered = docs.withColumn("__order", sample_order(*order))
+    chosen = ordered.join(cut, (F.col(lang_col) == F.col("__lang")) & (F.col("__order") < F.col("__cut"))).select("__order", lang_col, text_col)
     found = chosen.mapInArrow(run, "o long, lang string, at binary, v binary").toArrow()
     languages, kept, seen = sorted(sizes), [], {}
     for lang, o, at, v in sorted(zip(*[found.column(c).to_pylist() for c in ("lang", "o", "at", "v")], strict=True)):
@@ -163,5 +165,7 @@ def language_query(docs: DataFrame) -> DataFrame:
     return identify(flat, train).drop("text")
 
 
-def op1_language(spark, sf_dir: str) -> DataFrame:
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """language_query over documents: every row, whole texts. Null texts and those without a letter are `und` with score 0; equal
+    texts get equal answers, also among repeated rows; of languages with equal votes the first by code is taken."""
     return language_query(read_table(spark, sf_dir, "documents"))

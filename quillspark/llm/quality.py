@@ -19,8 +19,8 @@ from quillspark.llm.common import few, read_table
 BUCKETS, SMOOTHING = 10_000, 0.01
 #: The least mean log-likelihood ratio of a text that is kept.
 THRESHOLD = -0.1
-#: Trusted ids up to this number are broadcast (16 MB); beyond it the join shuffles.
-BROADCAST_IDS = 1_000_000
+#: Trusted ids up to this number, and few()'s bytes, are broadcast; beyond either the join shuffles.
+BROADCAST_IDS = 500_000
 #: Positions of longer texts don't fit beside a hash in 64 bits.
 PACKED = 1 << 16
 BLANKS = " \t\n\x0b\f\r"
@@ -116,13 +116,14 @@ def quality_rules(docs: DataFrame, ratios: list[float], text: str = "text", keep
     its words are in repeated windows; kept texts pass these and have a mean log-likelihood ratio of at least threshold.
     """
     keep = ["doc_id"] if keep is None else keep
-    df = with_words(docs.select(*[docs[c] for c in keep], docs[text].alias("__text")), "__text", "__words")
+    own = [f"__k{i}" for i in range(len(keep))]
+    df = with_words(docs.select(*[docs[c].alias(k) for c, k in zip(keep, own, strict=True)], docs[text].alias("__text")), "__text", "__words")
     df = with_repeats(df, "__words")
     t, w = F.coalesce("__text", F.lit("")), F.col("__words")
     lines = F.filter(F.split(t, "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     n = F.size(w).cast("long")
     df = df.withColumn("__lines", F.explode(F.array(lines))).select(
-        *keep,
+        *[F.col(k).alias(c) for c, k in zip(keep, own, strict=True)],
         n.alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -135,6 +136,8 @@ def quality_rules(docs: DataFrame, ratios: list[float], text: str = "text", keep
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """quality_rules of all documents, trusted ones by labels.quality: one row each, repeated rows included. Null and empty texts have
+    no word, fail the base rules and have ratio 0; a ratio equal to the threshold is kept; an empty table gives no row."""
     docs = read_table(spark, sf_dir, "documents")
     trusted = read_table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return quality_rules(docs, fit_ratio(docs, trusted))

@@ -12,11 +12,13 @@ from quillspark.llm.common import read_table
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """encode_documents of all documents: one row each, repeated rows included. Null and empty texts have no token; an empty table gives no row."""
     docs = read_table(spark, sf_dir, "documents")
     return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """count_tokens of all documents: one row each, repeated rows included. Null and empty texts have 0 bytes and tokens; an empty table gives no row."""
     docs = read_table(spark, sf_dir, "documents")
     return tokens.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 

@@ -303,3 +303,216 @@ def test_pipeline(spark):
         kept = spark.createDataFrame(after.collect(), docs.schema)
     out = corpus_pipeline.run(spark, SF)
     assert sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in kept.collect())
+
+
+def test_many_languages(spark):
+    import random
+
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"x{k:02}": ["".join(rng.choices(letters, k=6)) for _ in range(12)] for k in range(70)}
+    rows = [(d, " ".join(rng.choices(words[lang], k=20)), lang) for d, lang in enumerate(sorted(words) * 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.identify(docs.drop("lang"), docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(r.lang_pred == r.lang for r in got) >= 0.95 * len(got) and len({r.lang_pred for r in got}) == 70
+
+
+def test_language_votes_equal_plain_version(spark):
+    import numpy as np
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("text rlike '[a-z]'").limit(60).toPandas()
+    x = np.array([language.features(t) for t in docs.text])
+    langs = sorted(docs.lang.dropna().unique())
+    known = docs.lang.isin(langs).to_numpy()
+    model = language.LanguageModel(langs, x[known], np.array([langs.index(v) for v in docs.lang[known]]))
+    for v in x:
+        s = [float(np.dot(w[:-1], v) + w[-1]) for w in model.weights]
+        family = max(range(len(model.families)), key=lambda f: s[f]) if len(model.families) > 1 else 0
+        shift = len(model.families) if len(model.families) > 1 else 0
+        sure = lambda m: 1 / (1 + np.exp(-3 * m))
+        votes = {k: sum((sure(m) + (m >= 0) if a == k else 1 - sure(m) + (m < 0)) for (a, b), m in zip(model.pairs, s[shift:]) if k in (a, b) and {a, b} <= set(model.members[family])) for k in model.members[family]}
+        assert model.predict(v)[0] == max(votes, key=votes.get)
+
+
+def test_licences_at_all_widths(spark):
+    import textwrap
+
+    rows = []
+    for k, (name, text) in enumerate(licenses.KNOWN):
+        for width in range(50, 101):
+            rows.append((k, name, "Copyright (c) 2020-2024 Some Body\nCopyright The Other Authors\nAll rights reserved.\n\n" + "\n".join(textwrap.wrap(text, width, break_long_words=False)), width))
+    spelled = [(0, "MIT", licenses.MIT_BODY + " licence licence"), (1, "MIT", licenses.MIT_BODY + " license license"), (2, "MIT", "Copyright (c) 2020 Some Body. All rights reserved. " + licenses.MIT_BODY)]
+    df = spark.createDataFrame([(100 * k + w, t) for k, _, t, w in rows] + [(90_000 + k, t) for k, _, t in spelled], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
+    assert all(got[100 * k + w].license == name for k, name, _, w in rows)
+    assert got[90_000].digest == got[90_001].digest and got[90_002].license == "MIT"
+
+
+def test_licence_sql_agrees(spark, tmp_path):
+    import duckdb
+
+    texts = ["Copyright (c) 2020 A\n" + licenses.MIT_BODY, licenses.MIT_BODY.upper(), "licence licence\ncopyright notice\n(c) you may\n© 2020 x", None, "", "copyright 2020 x all rights reserved. permission to use a"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/d/*.parquet'")
+    want = con.execute(licenses.oracle()).fetchall()
+    got = [tuple(r) for r in licenses.scan(spark.read.parquet(str(tmp_path / "d"))).collect()]
+    assert sorted(got) == sorted(want) and sum(r[3] for r in got) == 2
+
+
+def test_many_rules(spark):
+    rules = [*urls.RULES, *[urls.Rule("block", f"h{k}.net/p{k % 7}/") for k in range(1500)]]
+    rows = [(k, f"http://{'a.' if k % 2 else ''}h{k}.net/p{k % 5}/x", "") for k in range(400)] + [(9000, "http://x.org/", ""), (9001, None, ""), (9002, "http:///p", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("rule", F.lit(2))
+    got = {r.page_id: r.rule for r in urls.filter_urls(df, rules).collect()}
+    assert len(got) == len(rows) and all(got[k] == (f"h{k}.net/p{k % 7}/" if k % 7 == k % 5 else None) for k in range(400))
+    assert got[9000] == "org/" and got[9001] is None and got[9002] is None
+
+
+def test_trust_reaches_the_fixed_point(spark):
+    import numpy as np
+
+    links = [(k, k + 1) for k in range(20)] + [(20, 0), (3, 9), (9, 3), (5, 5 + 7), (12, 2)]
+    edges = urls.shares(spark.createDataFrame([(f"h{a}", f"h{b}", 1 + a % 3) for a, b in links], "src string, dst string, n long"))
+    got = {r.host: r.v for r in urls.spread(edges, spark.createDataFrame([("h0", 0.75), ("h4", 0.25)], "host string, v double")).collect()}
+    m, seed = np.zeros((21, 21)), np.zeros(21)
+    seed[0], seed[4] = 0.75, 0.25
+    for r in edges.collect():
+        m[int(r.dst[1:]), int(r.src[1:])] = r.share
+    want = np.linalg.solve(np.eye(21) - 0.85 * m, 0.15 * seed)
+    assert sum(abs(want[k] - got.get(f"h{k}", 0.0)) for k in range(21)) < urls.TOLERANCE and got["h20"] > 0
+
+
+def test_runs_equal_enumeration():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    for _ in range(30):
+        streams = [[rng.randrange(3) for _ in range(rng.randrange(14))] for _ in range(5)]
+        pages = [rng.randrange(4) for _ in streams]
+        place, low, high, run = html.shard_runs([np.array(s, dtype=np.int64) for s in streams], pages, 4)
+        flat, owner = [], []
+        for k, s in enumerate(streams):
+            flat += [*s, None]
+            owner += [pages[k]] * (len(s) + 1)
+        grams = {}
+        for at in range(len(flat) - 3):
+            if None not in flat[at : at + 4]:
+                grams.setdefault(tuple(flat[at : at + 4]), []).append(at)
+        got = {tuple(flat[p : p + 4]): (a, b) for p, a, b in zip(place, low, high)}
+        assert got == {g: (min(owner[k] for k in at), max(owner[k] for k in at)) for g, at in grams.items()}
+        assert all((run[k] >= 0) == any(k in at for at in grams.values()) for k in range(len(flat)))
+
+
+def test_html_names_beside_prose(spark):
+    body = "<article><h1>T{0}</h1><div class='social-science'><p>prose {0} about markets</p></div><section class='related-work'>earlier {0} work here</section><div class='share-buttons'>share me {0}</div><div class='social-plug'>Follow us on all the usual networks today</div></article>"
+    rows = [(k, f"http://h/{k}", body.format(f"n{k}")) for k in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("shard", F.lit(2))
+    got = {r.page_id: r.text for r in html.extract(df).collect()}
+    assert got == {k: f"Tn{k} prose n{k} about markets earlier n{k} work here" for k in range(4)}
+    assert html.extract(df.where("false")).count() == 0
+
+
+def test_quality_ratio_equals_plain_version(spark):
+    import math
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").withColumn("llr", F.lit("x")).withColumn("__text", F.lit(1))
+    trusted = {r.doc_id for r in docs.where("doc_id % 3 = 0").collect()}
+    ratios = quality.fit_ratio(docs, docs.where("doc_id % 3 = 0").select("doc_id"))
+    rows = {r.doc_id: re.findall(r"[^\x20\x09-\x0D]+", r.text or "") for r in docs.collect()}
+    grams = {d: [(a,) for a in w] + list(zip(w, w[1:])) for d, w in rows.items()}
+    every = sorted({g for gs in grams.values() for g in gs})
+    one = spark.createDataFrame([(k, *(g if len(g) == 2 else (g[0], None))) for k, g in enumerate(every)], "k long, a string, b string")
+    found = one.select("k", F.when(F.col("b").isNull(), quality.bucket(F.col("a"))).otherwise(quality.bucket(F.col("a"), F.col("b"))).alias("n")).collect()
+    of = {every[r.k]: r.n for r in found}
+    n = collections.Counter(of[g] for gs in grams.values() for g in gs)
+    t = collections.Counter(of[g] for d, gs in grams.items() if d in trusted for g in gs)
+    a, b, size = sum(t.values()), sum(n.values()), quality.BUCKETS
+    s = quality.SMOOTHING
+    ratio = {k: math.log((t[k] / a + s / size) / (1 + s)) - math.log((n[k] / b + s / size) / (1 + s)) for k in n}
+    for r in quality.quality_rules(docs, ratios).collect():
+        want = sum(ratio[of[g]] for g in grams[r.doc_id]) / len(grams[r.doc_id]) if grams[r.doc_id] else 0.0
+        assert abs(r.llr - want) < 1e-5
+        assert r.kept == (not r.base_failed and r.llr >= quality.THRESHOLD)
+
+
+def test_toxicity_scores_equal_plain_forward_backward(spark):
+    import numpy as np
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    t = np.exp(model.trans)
+    for r in toxicity.score_toxicity(docs, model).limit(40).collect():
+        e = np.array([model.emission(w) for w in toxicity.WORD.findall((r.text or "").lower())])
+        x = np.exp(np.clip(np.stack([0 * e, e], axis=1), -30, 30)) if len(e) else np.zeros((0, 2))
+        ahead, behind = x.copy(), np.ones_like(x)
+        for k in range(1, len(e)):
+            ahead[k] = x[k] * (ahead[k - 1] @ t)
+            ahead[k] /= ahead[k].sum()
+        for k in range(len(e) - 2, -1, -1):
+            behind[k] = t @ (x[k + 1] * behind[k + 1])
+            behind[k] /= behind[k].sum()
+        p = ahead * behind
+        p = (p / p.sum(axis=1, keepdims=True))[:, 1] if len(e) else np.zeros(0)
+        strong = p[p >= 0.1].sum()
+        f = [1, np.log1p(strong), p.max() if len(p) else 0, min(1, 10 * strong / len(p)) if len(p) else 0]
+        assert abs(r.score - 1 / (1 + np.exp(-np.dot(model.doc, f)))) < 1e-6
+
+
+def test_long_and_short_texts_have_equal_marginals_apart_and_together():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    model = toxicity.ChainModel()
+    model.trans = np.array([[0.3, -0.5], [-0.2, 0.8]])
+    docs = [rng.normal(size=n) for n in (0, 1, 5, 70_000, 3, 200, 40)] * 20
+    together = model.marginals(docs)
+    assert all(np.allclose(a, model.marginals([d])[0]) for a, d in zip(together[:7], docs)) and all(len(a) == len(d) for a, d in zip(together, docs))
+
+
+def test_near_duplicates_in_large_groups(spark):
+    import random
+
+    rng = random.Random(9)
+    base = [f"b{k}" for k in range(120)]
+    docs = [(0, " ".join(base))]
+    for d in range(1, 260):
+        words = list(base)
+        for k in rng.sample(range(120), rng.randrange(1, 6)):
+            words[k] = f"d{d}x{k}"
+        docs.append((d, " ".join(words)))
+    passage = " ".join(f"p{k}" for k in range(60))
+    docs += [(1000 + d, passage + " " + " ".join(f"q{d}y{k}" for k in range(30))) for d in range(120)] + [(2000 + d, docs[7][1]) for d in range(50)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = components({d: shingles(t, 4) for d, t in docs})
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df, size=4).collect()} == want
+
+
+def test_keep_one_of_nothing(spark, empty):
+    assert neardup.keep_one(empty).count() == 0 and neardup.keep_one(empty).columns == empty.columns
+
+
+def test_unknown_symbols():
+    vocab = {"a": 0, "b": 1, "ab": 2, "?": 3}
+    assert bpe.PrefixBpe(vocab, [("a", "b")]).encode("axbx") == ["ab"]
+    assert bpe.PrefixBpe(vocab, [("a", "b")], unknown="?").encode("abxxa") == ["ab", "?", "?", "a"]
+    assert bpe.PrefixBpe(vocab, [("a", "b")], unknown="?", fuse=True).encode("xxab") == ["?", "ab"]
+
+
+def test_token_counts_with_clashing_columns(odd):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    df = odd.withColumn("row", F.lit(1)).withColumn("rest", F.lit(2)).withColumn("pretoken", F.lit(3))
+    assert tokens.count_tokens(df, path).exceptAll(tokens.count_tokens(odd, path)).count() == 0
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd):
+    odd = odd.drop("score").withColumn("source", F.lit(None).cast("string")).withColumn("n_chars", F.length("text").cast("long")).withColumn("__more", F.lit(1))
+    for name, stage in corpus_pipeline.STAGES:
+        for df in (odd, odd.where("false")):
+            out = stage(spark, df, SF)
+            rows = out.count()
+            assert rows <= df.count() and (name == "bpe" or out.columns == df.columns)
+            if name in ("toxicity", "decontamination", "bpe"):
+                assert rows == df.count()
