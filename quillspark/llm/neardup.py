@@ -1,9 +1,11 @@
 """Near duplicates: universal-hash minima with banding, signature and exact verification, components by large-star and small-star.
 
 1. One pass makes each text's set of word shingles, a 128-bit digest of it (the class of equal sets) and BANDS * ROWS minima.
-2. Classes that agree in a band meet in a bucket. Not all pairs of a bucket are tested: each member meets two hubs, the
-   member that meets most others over all bands (in a group of edited copies the one nearest to the original) and one
-   chosen by hash. Signatures sort out pairs far below the threshold, and full shingle sets decide the others.
+2. Classes that agree in a band meet in a bucket. Not all pairs of a bucket are tested: each member meets the hub, the
+   member that meets most others over all bands (in a group of edited copies the one nearest to the original).
+   Signatures sort out pairs far below the threshold, and full shingle sets decide the others. Members that are then
+   outside their hub's component meet two more, one of that component and one outside it, chosen by the hash of their
+   keys alone, so that the buckets of a group mostly choose the same and a member has few partners.
 3. Links give components. Where a bucket's members still lie in several components, the rest is exact: members outside
    the largest component of their group (see Corpus.rest) are compared with the whole group, block by block. A task gets two bounded blocks with
    signatures and sets, skips pairs that its own links have joined by then, and returns links that join components, so
@@ -20,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import few, materialise, read_table
+from quillspark.llm.common import few, give_back, materialise, read_table
 
 SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 32, 5
@@ -35,8 +37,10 @@ SIGNATURE = 0.6
 LOOSE, FAR = 0.4, 0.7
 #: Members of a block in the exact rest.
 BLOCK = 512
-#: Words a worker remembers, and shingles hashed at a time.
-MEMO, CHUNK = 500_000, 256
+#: Words and classes a task remembers, and shingles hashed at a time.
+MEMO, CHUNK = 200_000, 256
+#: Parts that a group's rows are dealt to where they meet one row of the group.
+SALTS = 32
 SET = np.dtype("<u8")
 
 
@@ -110,8 +114,10 @@ def with_sets(docs: DataFrame, size: int) -> DataFrame:
                     seen.add(key)
                 minima.append(sets.minima(found))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(minima, pa.binary())], names=["rid", "id", "n", "key", "minima"])
+        del sets, seen
+        give_back()
 
-    return docs.select("rid", "id", "text").mapInArrow(run, f"rid long, id {docs.schema['id'].dataType.simpleString()}, n long, key binary, minima binary")
+    return docs.select("rid", "id", "text").mapInArrow(run, f"rid binary, id {docs.schema['id'].dataType.simpleString()}, n long, key binary, minima binary")
 
 
 def agreement(pairs: DataFrame) -> DataFrame:
@@ -127,7 +133,7 @@ def agreement(pairs: DataFrame) -> DataFrame:
 
 
 class Corpus:
-    """Classes of equal sets, their buckets, and the tests made so far. docs: id, text, rid (a hash of both)."""
+    """Classes of equal sets, their buckets, and the tests made so far. docs: id, text, rid (16 bytes for both)."""
 
     def __init__(self, docs: DataFrame, size: int, percent: int):
         self.docs, self.size, self.percent = docs, size, percent
@@ -141,16 +147,16 @@ class Corpus:
         shared = materialise(buckets.join(sizes, "band"), "buckets")
         meets = shared.groupBy("key").agg(F.sum("size").alias("meets"))
         central = F.max_by("key", F.struct("meets", "key"))
-        hubs = shared.join(meets, "key").groupBy("band").agg(central.alias("hub"), F.min_by("key", F.xxhash64("key", "band")).alias("other"))
-        self.members = materialise(shared.join(hubs, "band").select("band", "key", "hub", "other"), "members")
+        hubs = shared.join(meets, "key").groupBy("band").agg(central.alias("hub"))
+        self.members = materialise(shared.join(hubs, "band").select("band", "key", "hub"), "members")
 
     def tested(self, pairs: DataFrame) -> DataFrame:
-        """a, b, near: the pairs (a < b, distinct) that signatures don't sort out, tested on their full sets. Sets shares."""
+        """a, b, share, near: the pairs (a < b, distinct), tested on their full sets where signatures don't sort them out (near is null there)."""
         m = self.classes.select("key", "minima")
         own = pairs.join(m.withColumnRenamed("key", "b").withColumnRenamed("minima", "mb"), "b")
         own = own.join(m.withColumnRenamed("key", "a").withColumnRenamed("minima", "ma"), "a").select("a", "b", "ma", "mb")
-        self.shares = materialise(agreement(own), "shares")
-        left = self.shares.where(F.col("share") >= SIGNATURE).select("a", "b")
+        shares = materialise(agreement(own), "shares")
+        left = shares.where(F.col("share") >= SIGNATURE).select("a", "b")
         keys = left.select(F.explode(F.array("a", "b")).alias("key")).distinct()
         full = self.full_sets(keys)
         percent = self.percent
@@ -166,7 +172,8 @@ class Corpus:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], names=["a", "b", "near"])
 
         both = left.join(full.withColumnRenamed("key", "b").withColumnRenamed("s", "sb"), "b").join(full.withColumnRenamed("key", "a").withColumnRenamed("s", "sa"), "a")
-        return materialise(both.select("a", "b", "sa", "sb").mapInArrow(exact, "a binary, b binary, near boolean"), "tests")
+        found = both.select("a", "b", "sa", "sb").mapInArrow(exact, "a binary, b binary, near boolean")
+        return materialise(shares.join(found, ["a", "b"], "left"), "tests")
 
     def full_sets(self, keys: DataFrame) -> DataFrame:
         """key, s: the whole sets of the classes in keys, made again from the text of one row of each."""
@@ -186,26 +193,47 @@ class Corpus:
                         if len(seen) < MEMO:
                             seen.add(key)
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.binary()), pa.array([s for _, s in out], pa.binary())], names=["key", "s"])
+            del made, seen
+            give_back()
 
         return materialise(texts.mapInArrow(sets, "key binary, s binary").dropDuplicates(["key"]), "shingles")
 
-    def rest(self, labels: DataFrame) -> DataFrame:
-        """a, b: links that join components of members of one bucket.
+    def mixed(self, labels: DataFrame) -> DataFrame:
+        """band, key, hub, label of the members of buckets with several components."""
+        own = self.members.join(labels, "key", "left").select("band", "key", "hub", F.coalesce("label", "key").alias("label"))
+        several = own.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
+        return own.join(several, "band", "left_semi")
+
+    def second(self, labels: DataFrame) -> DataFrame:
+        """a, b: members outside their hub's component, each with one member inside it and one outside."""
+        own = materialise(self.mixed(labels), "mixed")
+        home = own.where("key = hub").select("band", F.col("label").alias("home"))
+        own = own.join(home, "band").withColumn("out", F.col("label") != F.col("home"))
+        order = F.xxhash64("key")
+        inside = F.min_by(F.when(~F.col("out") & (F.col("key") != F.col("hub")), F.col("key")), F.when(~F.col("out") & (F.col("key") != F.col("hub")), order))
+        outside = F.min_by(F.when(F.col("out"), F.col("key")), F.when(F.col("out"), order))
+        chosen = own.groupBy("band").agg(inside.alias("inside"), outside.alias("outside"))
+        pairs = own.where("out").join(chosen, "band").select("key", F.explode(F.array("inside", "outside")).alias("with")).where("with is not null and key <> with")
+        return pairs.select(F.least("key", "with").alias("a"), F.greatest("key", "with").alias("b")).distinct()
+
+    def rest(self, labels: DataFrame, shares: DataFrame) -> DataFrame:
+        """a, b: links that join components of members of one bucket. shares: share of equal minima of each member and its hub.
 
         Members that are similar to their bucket's hub form groups over all buckets, so that each pair is met once; what
         only shares a passage with it stays in its bucket, lest common passages tie everything to everything.
         """
-        own = self.members.join(labels, "key", "left").select("band", "key", "hub", F.coalesce("label", "key").alias("label"))
-        mixed = own.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
-        own = own.join(mixed, "band", "left_semi").withColumn("a", F.least("key", "hub")).withColumn("b", F.greatest("key", "hub")).join(self.shares, ["a", "b"], "left")
+        own = self.mixed(labels).withColumn("a", F.least("key", "hub")).withColumn("b", F.greatest("key", "hub")).join(shares, ["a", "b"], "left")
         own = materialise(own.select("band", "key", "hub", "label", F.when(F.col("key") == F.col("hub"), 1.0).otherwise(F.coalesce("share", F.lit(0.0))).alias("share")), "mixed")
         groups = label_components(own.where(F.col("share") >= LOOSE).select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()).withColumnRenamed("label", "group")
         parts = own.select("key", "label").distinct().join(groups, "key").select("group", "key", "label")
         parts = parts.unionByName(own.where(F.col("share") < FAR).select(F.col("band").cast("string").cast("binary").alias("group"), "key", "label"))
         sizes = parts.groupBy("group", "label").agg(F.count("*").alias("n"))
         main = sizes.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("largest"))
+        # a group may hold most rows: they are dealt to SALTS parts, and its one row goes to each
+        main = main.where("all > largest").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        parts = parts.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
         width = lambda n: F.ceil(n / BLOCK).cast("int")
-        parts = parts.join(main, "group").select("group", "key", "label", (F.col("label") != F.col("main")).alias("poor"), width(F.col("all")).alias("ja"), width(F.col("all") - F.col("largest")).alias("jp"))
+        parts = parts.join(main, ["group", "salt"]).select("group", "key", "label", (F.col("label") != F.col("main")).alias("poor"), width(F.col("all")).alias("ja"), width(F.col("all") - F.col("largest")).alias("jp"))
         parts = materialise(parts.where("ja > 0 and jp > 0"), "groups")
         block = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
         upto = lambda n: F.sequence(F.lit(0), n - 1)
@@ -248,11 +276,17 @@ class Corpus:
 
     def components(self) -> DataFrame:
         """key, label of every class that is linked with another."""
-        m = self.members
-        pairs = [m.where(F.col("key") != F.col(h)).select(F.least("key", h).alias("a"), F.greatest("key", h).alias("b")) for h in ("hub", "other")]
-        links = self.tested(pairs[0].unionByName(pairs[1]).distinct()).where("near").select("a", "b")
+
+        def pairs(m: DataFrame) -> DataFrame:
+            return m.where("key <> hub").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
+
+        first = self.tested(pairs(self.members))
+        links = first.where("near").select("a", "b")
         labels = label_components(links)
-        more = self.rest(labels)
+        more = self.second(labels)
+        links = materialise(links.unionByName(self.tested(more.join(first, ["a", "b"], "left_anti")).where("near").select("a", "b")), "links")
+        labels = label_components(links)
+        more = self.rest(labels, first.select("a", "b", "share"))
         return labels if more.isEmpty() else label_components(links.unionByName(more))
 
 
@@ -273,8 +307,13 @@ def label_components(edges: DataFrame) -> DataFrame:
         e = materialise(small.distinct(), "edges")
 
 
+def row_id(own: Column, text: Column) -> Column:
+    """16 bytes that stand for a row's id and text; null and empty differ."""
+    return F.unhex(F.md5(F.concat_ws("\n", F.coalesce(own.cast("string"), F.lit("\t")), F.coalesce(F.length(text), F.lit(-1)).cast("string"), text).cast("binary")))
+
+
 def prepare(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).withColumn("rid", F.xxhash64("id", "text"))
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).withColumn("rid", row_id(F.col("id"), F.col("text")))
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -306,7 +345,7 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_co
     rows = corpus.rows.where("n > 0").select("rid", "id", "key").join(of, "key").select("rid", "id", "label")
     best = rows.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("m")).select("label", F.col("m.rid").alias("best"))
     gone = materialise(rows.join(best, "label").where("rid <> best").select("rid").distinct(), "gone")
-    rid = docs.withColumn("__rid", F.xxhash64(id_col, text_col))
+    rid = docs.withColumn("__rid", row_id(docs[id_col], docs[text_col]))
     out = rid.join(few(gone).withColumnRenamed("rid", "__rid"), "__rid", "left_anti")
     repeated = corpus.rows.groupBy("rid").count().where("count > 1").select(F.col("rid").alias("__rid"))
     if not repeated.isEmpty():
@@ -316,4 +355,6 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_co
 
 
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates of all documents on four-word shingles: one row each, repeated rows included. Null, empty and blank
+    texts are their own component; equal texts are one; of ties the least id is kept; an empty table gives no row."""
     return near_duplicates(read_table(spark, sf_dir, "documents"), size=4)
