@@ -2,11 +2,15 @@
 
 A merge-order BPE encoding has one property that removes the merge loop: each prefix of a symbol sequence has exactly
 one possible last token, and a token t may follow a prefix that ends in token p if and only if the two stay apart when
-BPE runs over p + t. So one pass suffices: an automaton over the vocabulary reports all tokens that end at a position,
+BPE runs over p + t. So one pass suffices: an automaton over the vocabulary's suffix links reports all tokens that end at a position,
 the pair test picks the only one that fits, and back-pointers give the ids. Work is linear in the length of the text,
 however long a word is.
 
-Texts are cut at white space and each distinct cut is encoded once per worker; the memory of that table is bounded.
+The automaton's state after a prefix is the longest suffix of it that starts a token, and its suffix links lead to all
+shorter ones, so it reports exactly the tokens that are suffixes of the prefix: what the suffix automaton of the text
+would, looked up from the other side, without one automaton for each word.
+
+Texts are cut at white space and each distinct cut is encoded once per task; the memory of that table is bounded, and it goes with the task.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import ahocorasick
 import pyarrow as pa
@@ -24,10 +29,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from quillspark.llm.common import give_back
+
 #: Stands for the end mark: no character of the byte alphabet.
 END = "\ue000"
-#: Entries of each half of a worker's tables of known cuts and words.
-MEMO = 150_000
+#: Entries of each half of a task's tables of known cuts and words, and of its table of tested pairs.
+MEMO, PAIRS = 100_000, 300_000
 #: Python's str.split() also parts at these, which are no white space to the tokenizer.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 SPACE = regex.compile(r"[\s--[\x1c-\x1f]]+", regex.V1)
@@ -43,8 +50,8 @@ def byte_alphabet() -> list[str]:
 class PrefixBpe:
     """Encodes one pre-token. End: the mark that closes a word; it belongs to the last symbol."""
 
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str = ""):
-        self.end = end
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str = "", unknown: str | None = None, fuse: bool = False):
+        self.end, self.unknown, self.fuse = end, unknown, fuse
         self.ids = vocab
         self.rank: dict[str, int] = {}
         self.parts: dict[str, tuple[str, str]] = {}
@@ -91,19 +98,40 @@ class PrefixBpe:
     def compatible(self, left: str, right: str) -> bool:
         key = (left, right)
         if (known := self.apart.get(key)) is None:
-            if len(self.apart) > 1_000_000:
+            if len(self.apart) > PAIRS:
                 self.apart.clear()
             known = self.apart[key] = self._apart_until(left, right, 1 << 60)
         return known
 
     def encode(self, word: str) -> list[str]:
-        """Tokens of a pre-token given in the byte alphabet."""
+        """Tokens of a pre-token given in the byte alphabet. Symbols that the vocabulary lacks are its unknown token, or dropped without one."""
+        if word and not (all(map(self.ids.__contains__, word[:-1])) and word[-1] + self.end in self.ids):
+            return self._with_unknown(word)
+        return self._known(word, self.end)
+
+    def _with_unknown(self, word: str) -> list[str]:
+        known = [c in self.ids for c in word[:-1]] + [word[-1] + self.end in self.ids]
+        if self.unknown is None:
+            return self._known("".join(c for c, k in zip(word, known, strict=True) if k), self.end if known[-1] else "")
+        out: list[str] = []
+        at = 0
+        for good, run in groupby(known):
+            size = len(list(run))
+            if good:
+                out += self._known(word[at : at + size], self.end if at + size == len(word) else "")
+            else:
+                out += [self.unknown] * (1 if self.fuse else size)
+            at += size
+        return out
+
+    def _known(self, word: str, end: str) -> list[str]:
+        """end: the end mark where the word is closed, else empty."""
         n = len(word)
         last: list[str | None] = [None] * (n + 1)
-        marked = len(word) - 1 if self.end else n
-        for at, token in self.automaton.iter(word + END if self.end else word):
-            closed = self.end and at == n
-            size = len(token) - (len(self.end) if closed else 0)
+        marked = len(word) - 1 if end else n
+        for at, token in self.automaton.iter(word + END if end else word):
+            closed = bool(end) and at == n
+            size = len(token) - (len(end) if closed else 0)
             stop = n if closed else at + 1
             if stop > n or last[stop] is not None or (not closed and stop > marked):
                 continue
@@ -116,7 +144,7 @@ class PrefixBpe:
             if token is None:
                 raise ValueError(f"no token of the vocabulary ends at {k}")
             out.append(token)
-            k -= len(token) - (len(self.end) if self.end and k == n else 0)
+            k -= len(token) - (len(end) if end and k == n else 0)
         return out[::-1]
 
 
@@ -146,7 +174,7 @@ class WordEncoder:
         self.special = {t["content"]: t["id"] for t in d["added_tokens"]}
         self.special_at = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.split = regex.compile(d["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.bpe = PrefixBpe(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]], model.get("end_of_word_suffix") or "")
+        self.bpe = PrefixBpe(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]], model.get("end_of_word_suffix") or "", model.get("unk_token"), bool(model.get("fuse_unk")))
         self.vocab = model["vocab"]
         self.alphabet = byte_alphabet()
         self.cuts, self.words = Memo(MEMO), Memo(MEMO)
@@ -227,5 +255,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, text_col: str = "text", k
             more = [pa.array(raw, pa.list_(pa.int32())), pa.array(plain, pa.string())] if with_ids else []
             columns = [*batch.columns[:-1], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string()), *more]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+        encoder.cache_clear()
+        del coder
+        give_back()
 
     return docs.select(*[docs[c] for c in keep], docs[text_col].alias("__text")).mapInArrow(run, T.StructType(fields))

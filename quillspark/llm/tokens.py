@@ -1,7 +1,7 @@
 """Token counts without ids: pieces once per distinct pre-token, joined to the documents' pre-token frequencies.
 
-A sample of documents gives the head, the pre-tokens that are likely to be frequent; its table has at most HEAD rows of
-at most HEAD_BYTES bytes each and is broadcast. Frequencies of all other pre-tokens are dealt by pre-token to the table
+A sample of documents gives the head, the pre-tokens that are likely to be frequent; its table has at most HEAD rows
+and HEAD_TOTAL bytes and is broadcast. Frequencies of all other pre-tokens are dealt by pre-token to the table
 of their counts, made once per distinct pre-token. Which pre-tokens are in the head moves work, never results.
 """
 
@@ -21,16 +21,16 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from quillspark.llm.bpe import byte_alphabet
-from quillspark.llm.common import materialise, sample_order
+from quillspark.llm.common import give_back, materialise, sample_order
 
-#: Most rows of the broadcast table, and the longest pre-token in it: at most 10 MB.
-HEAD, HEAD_BYTES = 150_000, 64
+#: Most rows of the broadcast table, their bytes together, and the longest pre-token in it.
+HEAD, HEAD_TOTAL, HEAD_BYTES = 150_000, 8 << 20, 4096
 #: Documents that are looked at to choose the head, about.
 HEAD_SAMPLE = 12_000
 #: How byte-level tokenizers part texts (a fixed pattern of the file format); letters first, which changes nothing, as no other branch starts with one.
 PRETOKEN = r" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Cuts a worker remembers.
-MEMO = 300_000
+#: Cuts a task remembers.
+MEMO = 100_000
 
 
 class Splitter:
@@ -95,10 +95,16 @@ def head_table(docs: DataFrame, spec: str, text_col: str, names: list[str]) -> d
                 found.update(split.pretokens(text.as_py() or "")[1])
         got = [(x, k) for x, k in found.items() if len(x.encode()) <= HEAD_BYTES]
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.string()), pa.array([k for _, k in got], pa.int64())], names=["pretoken", "k"])
+        del found, got
+        give_back()
 
     rows = share.select(text_col).mapInArrow(run, "pretoken string, k long").groupBy("pretoken").agg(F.sum("k").alias("k")).where("k > 1")
-    count = PieceCounter(spec).count
-    return {r.pretoken: count(r.pretoken) for r in rows.orderBy(F.desc("k"), "pretoken").limit(HEAD).select("pretoken").toLocalIterator()}
+    count, left, out = PieceCounter(spec).count, HEAD_TOTAL, {}
+    for r in rows.orderBy(F.desc("k"), "pretoken").limit(HEAD).select("pretoken").toLocalIterator():
+        left -= len(r.pretoken.encode())
+        if left >= 0:
+            out[r.pretoken] = count(r.pretoken)
+    return out
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -139,6 +145,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, text_col:
                 n_head.append(n)
                 rest.append([{"pretoken": x, "k": k} for x, k in tail.items()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_head, pa.int64()), pa.array(rest, pa.list_(pair))], names=schema.names)
+        memo.clear()
+        give_back()
 
     base = materialise(flat.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "pretokens")
     tail = base.select("row", F.explode("rest").alias("x")).select("row", "x.pretoken", "x.k")
@@ -147,6 +155,9 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, text_col:
         count = counter(shared.value[0]).count
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([count(x.as_py()) for x in batch.column(0)], pa.int64())], names=["pretoken", "n"])
+        counter.cache_clear()
+        del count
+        give_back()
 
     known = tail.select("pretoken").distinct().mapInArrow(pieces, "pretoken string, n long")
     sums = tail.join(known, "pretoken").groupBy("row").agg(F.sum(F.col("k") * F.col("n")).alias("n_tail"))

@@ -6,8 +6,9 @@ test. The chain has two states; a token's features give the score of the toxic o
 neighbours. Forward and backward passes give each token's marginal. A document's score is a logistic function of the
 expected number of toxic tokens, the largest marginal and the share of toxic tokens. Spans are runs of tokens with a marginal of at least one half.
 
-Learning takes a sample of TOXIC + CLEAN labelled documents of at most MAX_CHARS characters; every document is scored
-over its whole text, in one pass without a shuffle.
+Learning takes a sample of labelled documents, short or long: TOXIC + CLEAN of them at most, in a fixed order until they
+have SAMPLE_CHARS characters, and of their segments SEGMENTS at most. Every document is scored over its whole text, in
+one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -19,20 +20,20 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import held_out, read_table, sample_order
+from quillspark.llm.common import give_back, held_out, materialise, read_table, sample_order
 
 #: Bounds of the sample to learn from.
-TOXIC, CLEAN, MAX_CHARS = 2000, 4000, 20_000
+TOXIC, CLEAN, SAMPLE_CHARS = 2000, 4000, 24_000_000
 BUCKETS = 1 << 18
 #: A feature's log-likelihood ratio from which its tokens count as toxic (about one false feature in 10,000).
 EVIDENCE = 16.0
 SEGMENT, SEGMENTS = 32, 24_000
-#: Cuts a worker remembers, and documents per block of the forward and backward passes.
-MEMO, BLOCK = 300_000, 256
+#: Cuts a task remembers; documents and places (documents times the longest one's tokens) per block of the two passes.
+MEMO, BLOCK, CELLS = 100_000, 256, 1 << 20
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -56,20 +57,23 @@ class ChainModel:
         return float(self.bias + sum(self.w[k] for k in word_features(word)))
 
     def marginals(self, emissions: list[np.ndarray]) -> list[np.ndarray]:
-        """P(toxic) of each token of each document: documents side by side, longest first, one step of all at a time."""
+        """P(toxic) of each token of each document: documents side by side, longest first, one step of all at a time.
+
+        A block has at most CELLS places, or is one document.
+        """
         (t00, t01), (t10, t11) = np.exp(self.trans)
         out: list[np.ndarray] = [np.zeros(0)] * len(emissions)
-        order = sorted(range(len(emissions)), key=lambda k: -len(emissions[k]))
-        for at in range(0, len(order), BLOCK):
-            own = [k for k in order[at : at + BLOCK] if len(emissions[k])]
-            if not own:
-                continue
+        order = [k for k in sorted(range(len(emissions)), key=lambda k: -len(emissions[k])) if len(emissions[k])]
+        at = 0
+        while at < len(order):
+            own = order[at : at + max(1, min(BLOCK, CELLS // len(emissions[order[at]])))]
+            at += len(own)
             sizes = np.array([len(emissions[k]) for k in own])
             x = np.zeros((sizes[0], len(own)))
             for j, k in enumerate(own):
                 x[: sizes[j], j] = np.exp(np.clip(emissions[k], -30, 30))
             active = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), side="right")
-            ahead = np.empty_like(x)
+            ahead = np.zeros_like(x)
             r = x[0]
             ahead[0] = r
             for t in range(1, sizes[0]):
@@ -83,9 +87,9 @@ class ChainModel:
                 z = x[t + 1, :n] * q[:n]
                 q[:n] = (t10 + z * t11) / (t00 + z * t01)
                 ahead[t, : active[t]] *= q[: active[t]]
-            p = ahead / (1 + ahead)
+            p = np.divide(ahead, 1 + ahead, out=ahead)
             for j, k in enumerate(own):
-                out[k] = p[: sizes[j], j]
+                out[k] = p[: sizes[j], j].copy()
         return out
 
     def score(self, p: np.ndarray) -> float:
@@ -234,8 +238,15 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     cut = {y: int(2**32 * min(1.0, most[y] / n)) for y, n in sizes.items()}
     chosen = known.where(F.coalesce(*[F.when((F.col("y") == y) & (F.col("o") < c), True) for y, c in cut.items()], F.lit(False))) if cut else known.where("false")
     ids = chosen.groupBy("id").agg(F.max("y").alias("y"), F.min("o").alias("o"))
-    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where((F.length("text") <= MAX_CHARS) & (F.length("text") > 0))
-    rows = texts.join(F.broadcast(ids), "id").select("o", "y", "text").distinct().collect()
+    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where(F.length("text") > 0)
+    sample = materialise(texts.join(F.broadcast(ids), "id").select("o", "y", "text").distinct(), "labelled")
+    left, end = SAMPLE_CHARS, 1 << 32
+    for r in sample.select("o", F.length("text").alias("n")).orderBy("o", "n").collect():
+        left -= r.n
+        if left < 0:
+            end = r.o
+            break
+    rows = sample.where(F.col("o") < end).collect()
     rows.sort(key=lambda r: (r.o, r.text))
     return learn(list({r.text: r.y for r in rows}.items()))
 
@@ -290,6 +301,8 @@ def score_toxicity(docs: DataFrame, model: ChainModel, text_col: str = "text", s
                 if with_spans:
                     columns.append(pa.array([[dict(zip(("start", "end", "p"), s, strict=True)) for s in spans(model, t)] if (p >= 0.5).any() else [] for t, p in zip(texts, found, strict=True)], pa.list_(pair)))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+        memo.clear()
+        give_back()
 
     return docs.mapInArrow(run, T.StructType(fields))
 
@@ -301,5 +314,7 @@ def toxicity_query(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
     return scored.drop("text").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def op6_toxicity(spark, sf_dir: str) -> DataFrame:
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """toxicity_query over documents and labels: every row, whole texts. Null and empty texts have the score of a text without
+    toxic tokens; equal rows give equal rows; without labels of both kinds every score is the share of toxic ones (0.1 without any)."""
     return toxicity_query(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
