@@ -18,32 +18,41 @@ TOXIC, UNCERTAIN = 0.3, 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score below TOXIC; learns from labelled documents that aren't held out."""
+    """Documents with a toxicity score below TOXIC; learns from labelled documents that aren't held out.
+
+    Null and empty texts have the score of a text without toxic tokens; repeated rows stay or go together.
+    """
     labels = read_table(spark, sf_dir, "labels").where(~held_out("doc_id"))
     model = toxicity.fit(docs, labels)
     return toxicity.score_toxicity(docs, model, score="__score").where(F.col("__score") < TOXIC).drop("__score")
 
 
 def drop_unknown_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the model knows: neither without a letter nor with a score below UNCERTAIN."""
+    """Documents whose language the model knows: neither without a letter (null and empty texts go) nor with a score below UNCERTAIN."""
     found = language.identify(docs, docs.where(~held_out("doc_id")), label="__lang", score="__score")
     return found.where((F.col("__lang") != "und") & (F.col("__score") >= UNCERTAIN)).drop("__lang", "__score")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates: five-word shingles, similarity of 0.8 or more."""
+    """One document of each component of near duplicates: five-word shingles, similarity of 0.8 or more.
+
+    Texts without a word stay. Rows that repeat an id and text leave one row; of ties the least id stays.
+    """
     return neardup.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a leaking window of any benchmark item. Rows without an id are judged by their texts alone."""
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    """Documents without a leaking window of any benchmark item. Rows without an id are judged by their texts alone.
+
+    Null, empty and short texts stay; repeated rows stay or go together.
+    """
+    keyed = docs.withColumn("__key", neardup.row_id(docs["doc_id"], docs["text"]))
     leaks = materialise(decontaminate.find_leaks(keyed, read_table(spark, sf_dir, "benchmark"), id_col="__key").select(F.col("doc_id").alias("__key")).distinct(), "leaks")
     return keyed.join(few(leaks), "__key", "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens and digests of ids and decoded text of each document."""
+    """doc_id, lang, source, n_tokens and digests of ids and decoded text of each document. Null and empty texts have no token."""
     return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id", "lang", "source"])
 
 
@@ -55,7 +64,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: None of the stages can be told in SQL as a whole; tests hold each against a brute-force version.
+#: None of the stages can be told in SQL as a whole; tests hold them against plain Python versions.
 ORACLE_SQL = None
 
 
