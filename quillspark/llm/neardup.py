@@ -132,6 +132,12 @@ def agreement(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a binary, b binary, share double")
 
 
+def salted(rows: DataFrame, single: DataFrame, on: str) -> DataFrame:
+    """rows (with a key) joined to single, which has one row for each value of on. A value may hold most rows: they are dealt to SALTS parts, and its one row goes to each."""
+    each = single.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(each, [on, "salt"]).drop("salt")
+
+
 class Corpus:
     """Classes of equal sets, their buckets, and the tests made so far. docs: id, text, rid (16 bytes for both)."""
 
@@ -207,13 +213,12 @@ class Corpus:
     def second(self, labels: DataFrame) -> DataFrame:
         """a, b: members outside their hub's component, each with one member inside it and one outside."""
         own = materialise(self.mixed(labels), "mixed")
-        home = own.where("key = hub").select("band", F.col("label").alias("home"))
-        own = own.join(home, "band").withColumn("out", F.col("label") != F.col("home"))
-        order = F.xxhash64("key")
-        inside = F.min_by(F.when(~F.col("out") & (F.col("key") != F.col("hub")), F.col("key")), F.when(~F.col("out") & (F.col("key") != F.col("hub")), order))
-        outside = F.min_by(F.when(F.col("out"), F.col("key")), F.when(F.col("out"), order))
-        chosen = own.groupBy("band").agg(inside.alias("inside"), outside.alias("outside"))
-        pairs = own.where("out").join(chosen, "band").select("key", F.explode(F.array("inside", "outside")).alias("with")).where("with is not null and key <> with")
+        other = F.min(F.when(F.col("key") != F.col("hub"), F.struct(F.xxhash64("key").alias("o"), "key")))
+        parts = own.groupBy("band", "label").agg(other.alias("one"), F.max(F.col("key") == F.col("hub")).alias("home"))
+        chosen = parts.groupBy("band").agg(
+            F.max(F.when(F.col("home"), F.col("label"))).alias("home"), F.max(F.when(F.col("home"), F.col("one.key"))).alias("inside"), F.min(F.when(~F.col("home"), F.col("one"))).alias("outside")
+        )
+        pairs = salted(own, chosen, "band").where("label <> home").select("key", F.explode(F.array("inside", "outside.key")).alias("with")).where("with is not null and key <> with")
         return pairs.select(F.least("key", "with").alias("a"), F.greatest("key", "with").alias("b")).distinct()
 
     def rest(self, labels: DataFrame, shares: DataFrame) -> DataFrame:
@@ -229,11 +234,8 @@ class Corpus:
         parts = parts.unionByName(own.where(F.col("share") < FAR).select(F.col("band").cast("string").cast("binary").alias("group"), "key", "label"))
         sizes = parts.groupBy("group", "label").agg(F.count("*").alias("n"))
         main = sizes.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("largest"))
-        # a group may hold most rows: they are dealt to SALTS parts, and its one row goes to each
-        main = main.where("all > largest").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        parts = parts.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
         width = lambda n: F.ceil(n / BLOCK).cast("int")
-        parts = parts.join(main, ["group", "salt"]).select("group", "key", "label", (F.col("label") != F.col("main")).alias("poor"), width(F.col("all")).alias("ja"), width(F.col("all") - F.col("largest")).alias("jp"))
+        parts = salted(parts, main.where("all > largest"), "group").select("group", "key", "label", (F.col("label") != F.col("main")).alias("poor"), width(F.col("all")).alias("ja"), width(F.col("all") - F.col("largest")).alias("jp"))
         parts = materialise(parts.where("ja > 0 and jp > 0"), "groups")
         block = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
         upto = lambda n: F.sequence(F.lit(0), n - 1)
