@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import held_out, read_table, sample_order
+from quillspark.llm.common import give_back, held_out, read_table, sample_order
 
 #: Bounds of the training sample.
 PER_LANGUAGE, SAMPLE = 400, 12_800
@@ -127,7 +127,10 @@ def fit(docs: DataFrame, text_col: str, lang_col: str, order: list[str], per_lan
     x = np.zeros((len(kept), BUCKETS), dtype=np.float32)
     for k, (_, at, v) in enumerate(kept):
         x[k, np.frombuffer(at, dtype=np.int16)] = np.frombuffer(v, dtype=np.float32)
-    return LanguageModel(languages, x, np.array([languages.index(lang) for lang, _, _ in kept], dtype=np.int64))
+    model = LanguageModel(languages, x, np.array([languages.index(lang) for lang, _, _ in kept], dtype=np.int64))
+    del found, kept, x
+    give_back()
+    return model
 
 
 def identify(docs: DataFrame, train: DataFrame, text_col: str = "text", lang_col: str = "lang", order: list[str] | None = None, label: str = "lang_pred", score: str = "score") -> DataFrame:

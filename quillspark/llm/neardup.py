@@ -295,18 +295,21 @@ class Corpus:
 def label_components(edges: DataFrame) -> DataFrame:
     """key, label: the least node of each node's component, by alternating large-star and small-star rounds until nothing moves."""
     e = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = None
-    while True:
-        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == state or not now[0]:
-            return e.select(F.col("u").alias("key"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("key"), F.col("v").alias("label")).distinct())
-        state = now
+    while not are_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v"))
         e = materialise(small.distinct(), "edges")
+    give_back()
+    return e.select(F.col("u").alias("key"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("key"), F.col("v").alias("label")).distinct())
+
+
+def are_stars(e: DataFrame) -> bool:
+    """Whether each node is either a centre or tied to one centre only: no u occurs twice, and none is a v too."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("tied"), F.lit(0).alias("centre")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("tied"), F.lit(1).alias("centre")))
+    return ends.groupBy("x").agg(F.sum("tied").alias("tied"), F.max("centre").alias("centre")).where("tied + centre > 1").isEmpty()
 
 
 def row_id(own: Column, text: Column) -> Column:

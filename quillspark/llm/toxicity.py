@@ -248,7 +248,10 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
             break
     rows = sample.where(F.col("o") < end).collect()
     rows.sort(key=lambda r: (r.o, r.text))
-    return learn(list({r.text: r.y for r in rows}.items()))
+    model = learn(list({r.text: r.y for r in rows}.items()))
+    del rows
+    give_back()
+    return model
 
 
 def spans(model: ChainModel, text: str) -> list[tuple[int, int, float]]:
