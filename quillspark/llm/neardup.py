@@ -40,7 +40,7 @@ BLOCK = 512
 #: Words and classes a task remembers, and shingles hashed at a time.
 MEMO, CHUNK = 200_000, 256
 #: Parts that a group's rows are dealt to where they meet one row of the group.
-SALTS = 32
+SALTS = 16
 SET = np.dtype("<u8")
 
 
@@ -132,10 +132,10 @@ def agreement(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a binary, b binary, share double")
 
 
-def salted(rows: DataFrame, single: DataFrame, on: str) -> DataFrame:
-    """rows (with a key) joined to single, which has one row for each value of on. A value may hold most rows: they are dealt to SALTS parts, and its one row goes to each."""
+def salted(rows: DataFrame, single: DataFrame, on: str, by: str = "key", how: str = "inner") -> DataFrame:
+    """rows joined to single, which has one row for each value of on. A value may hold most rows: these are dealt to SALTS parts by another column, and its one row goes to each."""
     each = single.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(each, [on, "salt"]).drop("salt")
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(each, [on, "salt"], how).drop("salt")
 
 
 class Corpus:
@@ -144,7 +144,7 @@ class Corpus:
     def __init__(self, docs: DataFrame, size: int, percent: int):
         self.docs, self.size, self.percent = docs, size, percent
         self.rows = materialise(with_sets(docs, size), "sets")
-        classes = self.rows.where("n > 0").groupBy("key").agg(F.max("minima").alias("minima"), F.min("rid").alias("rid"), F.min("id").alias("id"))
+        classes = self.rows.where("n > 0").groupBy("key").agg(F.max("minima").alias("minima"), F.min("rid").alias("rid"), F.min("id").alias("id"), F.count("*").alias("rows"))
         self.classes = materialise(classes, "classes")
         width = 4 * ROWS
         bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("minima", k * width + 1, F.lit(width))))
@@ -276,6 +276,11 @@ class Corpus:
         both = left.unionByName(right).join(full, "key")
         return materialise(both.groupBy("group", "i", "j").applyInArrow(compare, "a binary, b binary").distinct(), "rest")
 
+    def grouped(self, labels: DataFrame) -> DataFrame:
+        """key, id, label of the classes that are linked or have several rows; each other row is a group of its own."""
+        of = self.classes.join(labels, "key", "left").where("label is not null or rows > 1")
+        return materialise(of.select("key", "id", F.coalesce("label", "key").alias("label")), "grouped")
+
     def components(self) -> DataFrame:
         """key, label of every class that is linked with another."""
 
@@ -330,11 +335,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     """
     corpus = Corpus(prepare(docs, id_col, text_col), size, percent)
     labels = corpus.components()
-    of = corpus.classes.select("key", "id").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    of = corpus.grouped(labels)
     least = of.groupBy("label").agg(F.min("id").alias("component_id"))
-    of = of.join(least, "label").select("key", "component_id")
-    out = corpus.rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "key").join(of, "key", "left")
-    component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    of = salted(of, least, "label").select("key", "component_id")
+    out = salted(corpus.rows.select("rid", F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "key"), of, "key", "rid", "left")
+    component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
@@ -346,10 +351,10 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_co
     flat = prepare(docs, id_col, text_col)
     corpus = Corpus(flat, size, percent)
     labels = corpus.components()
-    of = corpus.classes.select("key").join(labels, "key", "left").select("key", F.coalesce("label", "key").alias("label"))
-    rows = corpus.rows.where("n > 0").select("rid", "id", "key").join(of, "key").select("rid", "id", "label")
+    of = corpus.grouped(labels).select("key", "label")
+    rows = salted(corpus.rows.where("n > 0").select("rid", "id", "key"), of, "key", "rid").select("rid", "id", "label")
     best = rows.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("m")).select("label", F.col("m.rid").alias("best"))
-    gone = materialise(rows.join(best, "label").where("rid <> best").select("rid").distinct(), "gone")
+    gone = materialise(salted(rows, best, "label", "rid").where("rid <> best").select("rid").distinct(), "gone")
     rid = docs.withColumn("__rid", row_id(docs[id_col], docs[text_col]))
     out = rid.join(few(gone).withColumnRenamed("rid", "__rid"), "__rid", "left_anti")
     repeated = corpus.rows.groupBy("rid").count().where("count > 1").select(F.col("rid").alias("__rid"))
