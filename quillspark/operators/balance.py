@@ -7,7 +7,6 @@ Ranks within one category come from with_rank(), which numbers rows by hash rang
 from __future__ import annotations
 
 import math
-import time
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
@@ -161,8 +160,8 @@ def _flow(classes: list[tuple[tuple[frozenset, ...], int]], caps: list[Fraction
     return out
 
 
-def _search(classes: list[tuple[tuple[frozenset, ...], int]], caps: list[Fraction | None], shares: list[tuple[int, str, Fraction]], total: int, end: float) -> list[int] | None:
-    """Rows per class that reach a total, by depth-first search; null if there are none; raises TimeoutError at end."""
+def _search(classes: list[tuple[tuple[frozenset, ...], int]], caps: list[Fraction | None], shares: list[tuple[int, str, Fraction]], total: int, steps: int) -> list[int] | None:
+    """Rows per class that reach a total, by depth-first search; null if there are none; raises TimeoutError after so many steps."""
     order = sorted(range(len(classes)), key=lambda k: (sum(len(s) for s in classes[k][0]), -classes[k][1]))
     left = {(f, v): _cap(total, c) for f, c in enumerate(caps) if c is not None for sets, _ in classes for v in sets[f]}
     need = [math.ceil(p * total / 100) for _, _, p in shares]
@@ -176,7 +175,9 @@ def _search(classes: list[tuple[tuple[frozenset, ...], int]], caps: list[Fractio
             return False
         if j == len(order):
             return missing == 0
-        if time.monotonic() > end:
+        nonlocal steps
+        steps -= 1
+        if steps < 0:
             raise TimeoutError
         sets, n = classes[order[j]]
         own = [x for x in ((f, v) for f, s in enumerate(sets) for v in s) if x in left]
@@ -197,13 +198,14 @@ def _search(classes: list[tuple[tuple[frozenset, ...], int]], caps: list[Fractio
     return out if go(0, total) else None
 
 
-def solve_caps(classes: list[tuple[tuple[frozenset, ...], int]], caps: list[float | None], shares: list[tuple[int, str, float]] = (), most: int | None = None, seconds: float = 60.0) -> tuple[list[int], str]:
+def solve_caps(classes: list[tuple[tuple[frozenset, ...], int]], caps: list[float | None], shares: list[tuple[int, str, float]] = (), most: int | None = None, steps: int = 3_000_000) -> tuple[list[int], str]:
     """How many rows of each class to keep: the most rows so that every category keeps within its cap and reaches its share.
 
     classes: (a set of categories for each field, rows). A cap of p percent at a total of T allows max(floor(T p / 100), 1).
     Totals are tried from an upper bound down, as feasibility is not monotone with shares. Two single-valued fields
-    without shares are a flow problem, solved exactly. Otherwise a depth-first search decides, until seconds are over:
-    then the status is "feasible", with the first total that a short search finds below; else it is "optimal".
+    without shares are a flow problem, solved exactly. Otherwise a depth-first search decides each total, in so many steps
+    at most, so results don't depend on a clock. If it gave up on a total above the one it found, the status is "feasible",
+    else "optimal".
     """
     cap = [None if c is None else Fraction(str(c)) for c in caps]
     want = [(f, v, Fraction(str(p))) for f, v, p in shares]
@@ -219,31 +221,29 @@ def solve_caps(classes: list[tuple[tuple[frozenset, ...], int]], caps: list[floa
         return all(c is None or not single[f] or sum(min(n, _cap(total, c)) for n in sizes[f].values()) >= total for f, c in enumerate(cap))
 
     flow = len(cap) == 2 and all(single) and not want
-    end, proven = time.monotonic() + seconds, True
-    total = bound
-    while total > 0:
+    proven = True
+    for total in range(bound, 0, -1):
         if fits(total):
             try:
-                found = _flow(classes, cap, total) if flow else _search(classes, cap, want, total, end if proven else time.monotonic() + 0.5)
+                found = _flow(classes, cap, total) if flow else _search(classes, cap, want, total, steps if proven else steps // 100)
             except TimeoutError:
                 found, proven = None, False
             if found is not None:
                 return found, "optimal" if proven else "feasible"
-        total -= 1 if proven else max(1, total // 50)
     raise ValueError("no subset meets the caps and shares")
 
 
-def exact_caps(df: DataFrame, fields: dict[str, Column], caps: dict[str, float], id_col: str, shares: list[tuple[str, str, float]] = (), seed: int = 42, seconds: float = 60.0) -> DataFrame:
-    """The rows of a largest subset within the caps: rows with equal categories form classes, classes are solved, rows drawn by rank."""
+def exact_caps(df: DataFrame, fields: dict[str, Column], caps: dict[str, float], id_col: str, shares: list[tuple[str, str, float]] = (), seed: int = 42, steps: int = 3_000_000) -> DataFrame:
+    """The rows of a largest subset within the caps, with cap_status (optimal or feasible): rows with equal categories form classes, classes are solved, rows drawn by rank."""
     names = list(fields)
     keyed = df.withColumns({f"__{n}": F.array_join(F.array_sort(fields[n]), "\x02") for n in names})
     keys = [f"__{n}" for n in names]
     found = sorted(tuple(r) for r in keyed.groupBy(*keys).count().collect())
     classes = [(tuple(frozenset(v.split("\x02")) for v in r[:-1]), r[-1]) for r in found]
-    counts, _ = solve_caps(classes, [caps.get(n) for n in names], [(names.index(f), v, p) for f, v, p in shares], seconds=seconds)
+    counts, status = solve_caps(classes, [caps.get(n) for n in names], [(names.index(f), v, p) for f, v, p in shares], steps=steps)
     quotas = df.sparkSession.createDataFrame([(*r[:-1], n) for r, n in zip(found, counts, strict=True)], ", ".join(f"{k} string" for k in keys) + ", __q long")
     ranked = with_rank(keyed, keys, id_col, seed).join(F.broadcast(quotas), keys)
-    return ranked.where("rank <= __q").drop(*keys, "rank", "__q")
+    return ranked.where("rank <= __q").drop(*keys, "rank", "__q").withColumn("cap_status", F.lit(status))
 
 
 def weighted_order(weight: Column, key: Column, seed: int = 42) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.operators.order import order_index, unique_name
+from quillspark.operators.order import order_index, unique_names
 
 
 def errors(rules: list[tuple[Column, str]]) -> Column:
@@ -88,7 +88,7 @@ def merge(files: list[tuple[str, str, DataFrame]], families: list[str]) -> DataF
     for part in parts[1:]:
         out = out.unionByName(part)
     placed = order_index(out, "combined_source_family", families, ["combined_source_file", "pos"])
-    return placed.withColumn("combined_original_name", F.col("name")).withColumn("name", unique_name("name", "combined_order_index"))
+    return unique_names(placed.withColumn("combined_original_name", F.col("name")), "name", "combined_order_index", "name")
 
 
 def finite(df: DataFrame, *cols: str) -> DataFrame:

@@ -26,23 +26,34 @@ def equalize_families(spark, sf_dir):
     return B.take_quotas(df, ["family"], B.equalized(B.counts_of(df, "family"), THREE), "id", 42).select("id", "family")
 
 
-@add(with_sql("""select scope, least(n, case when scope = 'F' then n else n end)::bigint as had, kept from (select scope, count(*) as n from scenarios group by 1)
-join (select 'F' as scope, f as kept from (select count(*) filter (where scope = 'F') as f from scenarios)) using (scope)""", "scenarios"))
+SHARE_RANKED = "ranked as (select *, row_number() over (partition by scope order by sha1('42:' || id), id) as rank from scenarios)"
+
+
+@add(with_sql("""select id, scope from ranked join quota using (scope) where rank <= q""", "scenarios", more=SHARE_RANKED + """,
+n as (select scope, count(*)::bigint as n from scenarios group by 1), t as (select least(sum(n), min(n * 100 // case scope when 'F' then 60 end))::bigint as t from n),
+need as (select scope, n, case scope when 'F' then (t * 60 + 99) // 100 else 0 end as least_n, sum(n) over () - t as cut from n, t),
+spare as (select *, n - least_n as s from need),
+levels as (select distinct l from (select s as l from spare union all select 0)),
+level as (select min(l) as l from levels where (select sum(greatest(0, s - l)) from spare) <= (select max(cut) from spare)),
+base as (select scope, n, s, greatest(0, s - l) as gone, cut, l, least(s, l) as kept_spare from spare, level),
+more as (select *, cut - sum(gone) over () as left_over from base),
+quota as (select scope, n - gone - case when kept_spare > 0 and kept_spare = l then left_over // count(*) filter (kept_spare = l) over ()
+  + case when row_number() over (partition by kept_spare = l order by n - gone desc, scope) <= left_over % greatest(1, count(*) filter (kept_spare = l) over ()) then 1 else 0 end else 0 end as q from more)"""))
 def min_share_trim(spark, sf_dir):
-    """The protected scope keeps all of its rows, and what is kept meets its share; only these are the same for every choice of rows."""
+    """Rows that stay where scope F is to have 60 percent: the others are trimmed, most where most is to spare."""
     df = _small(spark, sf_dir)
     counts = B.counts_of(df, "scope")
-    kept = B.take_quotas(df, ["scope"], B.min_share_quotas(counts, {"F": 40.0}), "id", 42)
-    had = df.groupBy("scope").agg(F.count("*").alias("had"))
-    return kept.groupBy("scope").agg(F.count("*").alias("kept")).join(had, "scope").where("scope = 'F'").select("scope", "had", "kept")
+    return B.take_quotas(df, ["scope"], B.min_share_quotas(counts, {"F": 60.0}), "id", 42).select("id", "scope")
 
 
-@add(with_sql("select count(*) as n, least(sum(k), 100 * min(k) // 33)::bigint as total, min(k) as smallest from (select family, count(*) as k from scenarios where family in ('BUILDING', 'MACHINERY', 'FURNITURE') group by 1)", "scenarios"))
+@add(with_sql("""select id, family from ranked join quota using (family) where rank <= q""", "scenarios", more="""ranked as (select *, row_number() over (partition by family order by sha1('42:' || id), id) as rank from scenarios where family in ('BUILDING', 'MACHINERY', 'FURNITURE')),
+n as (select family, count(*)::bigint as n from ranked group by 1), t as (select least(sum(n), min(n * 100 // 33))::bigint as t from n),
+o as (select family, n, n - (t * 33 + 99) // 100 as spare, sum(n) over () - t as cut from n, t),
+quota as (select family, n - greatest(0, least(spare, cut - coalesce(sum(spare) over (order by n desc, family rows between unbounded preceding and 1 preceding), 0))) as q from o)"""))
 def min_family_share(spark, sf_dir):
     df = _small(spark, sf_dir).where(F.col("family").isin(THREE))
     counts = B.counts_of(df, "family")
-    kept = B.take_quotas(df, ["family"], B.min_family_quotas(counts, THREE, 33.0), "id", 42)
-    return kept.agg(F.countDistinct("family").alias("n"), F.count("*").alias("total")).withColumn("smallest", F.lit(min(counts.values())).cast("long"))
+    return B.take_quotas(df, ["family"], B.min_family_quotas(counts, THREE, 33.0), "id", 42).select("id", "family")
 
 
 @add()
@@ -55,7 +66,7 @@ def joint_family_scope(spark, sf_dir):
 @add()
 def exact_caps(spark, sf_dir):
     fields = {"family": F.array("family"), "scope": F.array("scope")}
-    return B.exact_caps(_small(spark, sf_dir), fields, {"family": 20.0, "scope": 33.4}, "id").groupBy("family", "scope").agg(F.count("*").alias("n"))
+    return B.exact_caps(_small(spark, sf_dir), fields, {"family": 20.0, "scope": 33.4}, "id").groupBy("family", "scope", "cap_status").agg(F.count("*").alias("n"))
 
 
 @add(with_sql("select (3 * min(k))::bigint as equalized, least(sum(k), 100 * min(k) // 33)::bigint as with_share from (select family, count(*) as k from scenarios where family in ('BUILDING', 'MACHINERY', 'FURNITURE') group by 1)", "scenarios"))
@@ -92,7 +103,8 @@ def windowed_counts(spark, sf_dir):
     return df.select(F.unix_timestamp("window.start").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
 
 
-@add("select event_type as value, greatest(0, sum(case when event_id % 3 = 0 then -1 else 1 end))::bigint as n from events group by 1")
+@add("""with d as (select event_type as value, event_id, sum(case when event_id % 3 = 0 or event_id < 40 then -1 else 1 end) over (partition by event_type order by event_id) as s from events)
+select value, (max_by(s, event_id) - least(0, min(s)))::bigint as n from d group by 1""")
 def rollback_counters(spark, sf_dir):
-    df = table(spark, sf_dir, "events").select(F.col("event_type").alias("value"), F.when(F.col("event_id") % 3 == 0, -1).otherwise(1).alias("delta"))
+    df = table(spark, sf_dir, "events").select(F.col("event_type").alias("value"), F.col("event_id").alias("pos"), F.when((F.col("event_id") % 3 == 0) | (F.col("event_id") < 40), -1).otherwise(1).alias("delta"))
     return S.signed_counts(df)

@@ -147,7 +147,7 @@ def order_index(spark, sf_dir):
 @add("select p_partkey as id, case when rn = 1 then p_name else p_name || '__dup' || rn end as unique_name from (select *, row_number() over (partition by p_name order by p_partkey) as rn from part)")
 def unique_names(spark, sf_dir):
     df = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name")
-    return df.select("id", O.unique_name("p_name", "id").alias("unique_name"))
+    return O.unique_names(df, "p_name", "id", "unique_name").select("id", "unique_name")
 
 
 @add("select min(doc_id) as doc_id from documents group by text, lang")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from quillspark.operators import dedup as S
 from quillspark.operators import rewards as R
 from quillspark.operators.order import with_position
 from quillspark.plans.relations import Catalogue, rollouts, table, vectors, with_sql
+from quillspark.sources.store import shared_folder
 
 CATALOGUE = Catalogue()
 add = CATALOGUE.add
@@ -188,7 +188,7 @@ def similarity_stats(spark, sf_dir):
 @add()
 def greedy_dedup(spark, sf_dir):
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspark-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return S.greedy_keep(vectors(spark, sf_dir), 0.3)
 
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.operators.order import with_position
+from quillspark.sources.store import cut
 
 
 def json_array(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -39,8 +41,8 @@ def jsonl_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def jsonl_counting(spark: SparkSession, path: str, schema: str, usable: Column, held_out: Column) -> tuple[DataFrame, dict[str, int]]:
     """Usable rows, and how many lines were broken, unusable or held out; raises if none is left."""
-    rows = spark.read.schema(f"{schema}, _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path).cache()
-    bad = F.col("_corrupt").isNotNull()
+    rows = spark.read.schema(f"{schema}, _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    rows, bad = cut(rows, "lines"), F.col("_corrupt").isNotNull()
     counts = rows.agg(F.count_if(bad | ~F.coalesce(usable, F.lit(False))).alias("skipped_rows"), F.count_if(~bad & F.coalesce(usable, F.lit(False)) & held_out).alias("held_out_rows"), F.count("*").alias("n")).first().asDict()
     kept = rows.where(~bad & F.coalesce(usable, F.lit(False)) & ~held_out).drop("_corrupt")
     if counts["n"] == counts["skipped_rows"] + counts["held_out_rows"]:
@@ -49,8 +51,10 @@ def jsonl_counting(spark: SparkSession, path: str, schema: str, usable: Column,
 
 
 def by_name(df: DataFrame, pos: str = "pos") -> DataFrame:
-    """Samples by name: the first of name, sample_name, id that isn't blank, else a hash of the row; the last of equal names wins."""
+    """Samples by name: the first of name, sample_name, id that isn't blank, else the first in source, else a hash of the row; the last of equal names wins."""
     there = [F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in ("name", "sample_name", "id") if c in df.columns]
+    if "source" in df.columns and isinstance(df.schema["source"].dataType, T.StructType):
+        there += [F.nullif(F.trim(F.col(f"source.{c}").cast("string")), F.lit("")) for c in ("name", "sample_name", "id") if c in df.schema["source"].dataType.names]
     rest = F.substring(F.sha1(F.to_json(F.struct(*sorted(c for c in df.columns if c != pos)))), 1, 12)
     keyed = df.withColumn("key", F.coalesce(*there, rest))
     return keyed.groupBy("key").agg(F.max_by(F.struct(*df.columns), F.col(pos)).alias("r")).select("key", "r.*")
@@ -99,15 +103,27 @@ def option_pools(pools: dict[str, list[str]], required: list[str]) -> dict[str,
 
 
 def training_log(spark: SparkSession, path: str, metric: str) -> DataFrame:
-    """line, step, value of a metric's lines in a log: each takes the last step named before it, 0 before the first."""
-    from pyspark.sql import Window
+    """line, step, value of a metric's lines in a log: each takes the last step named before it, 0 before the first.
 
+    Ranges of lines carry the step inside, and the last step of the ranges before comes from a table of one row a range.
+    """
     lines = with_position(spark.read.text(path).withColumn("i", F.monotonically_increasing_id()), [F.col("i")], "line")
     step = F.nullif(F.regexp_extract("value", r"\bstep[ =:]+(\d+)", 1), F.lit("")).cast("long")
     value = F.nullif(F.regexp_extract("value", rf"{re.escape(metric)}[ =:]+(-?[\d.]+)", 1), F.lit("")).cast("double")
-    marked = lines.select("line", step.alias("s"), value.alias("v")).where("s is not null or v is not null")
-    carried = F.coalesce(F.last("s", ignorenulls=True).over(Window.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
-    return marked.withColumn("step", carried).where("v is not null").select("line", "step", F.col("v").alias("value"))
+    marked = lines.select("line", step.alias("s"), value.alias("v"), F.floor(F.col("line") / 4096).alias("c")).where("s is not null or v is not null")
+    ends = marked.where("s is not null").groupBy("c").agg(F.max_by("s", "line").alias("e"))
+    before = marked.select("c").distinct().join(ends, "c", "left").select("c", F.last("e", ignorenulls=True).over(Window.orderBy("c").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    inner = F.last("s", ignorenulls=True).over(Window.partitionBy("c").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
+    carried = marked.withColumn("own", inner).join(before, "c").withColumn("step", F.coalesce("own", "before", F.lit(0)))
+    return carried.where("v is not null").select("line", "step", F.col("v").alias("value"))
+
+
+def append(df: DataFrame, path: str, batch: str | None = None) -> None:
+    """Rows to a ledger's end, by Spark's commit protocol. With a batch's name a repeated append replaces what it wrote before."""
+    if batch is None:
+        df.write.mode("append").json(path)
+    else:
+        df.write.mode("overwrite").json(f"{path}/batch={batch}")
 
 
 def append(df: DataFrame, path: str) -> None:
