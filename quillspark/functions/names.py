@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,3 +65,28 @@ def abs_threshold(total: int, pct: float) -> int:
 def frequent_names(df: DataFrame, names: Column, least: int) -> DataFrame:
     """name, n of the names that at least so many rows have; a row counts a name once."""
     return df.select(F.explode(F.array_distinct(names)).alias("name")).groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def first_last(name: Column) -> tuple[Column, Column]:
+    """Lower-cased first and last word of a name without its title; a single word is a first name."""
+    parts = F.split(lead_name(name), " ")
+    return F.nullif(parts.getItem(0), F.lit("")), F.when(F.size(parts) > 1, F.element_at(parts, -1))
+
+
+def origin_and_gender(df: DataFrame, name: str, last: DataFrame, first: DataFrame) -> DataFrame:
+    """df with origin by last name and gender by first name from a name bank's tables (last: name, origin; first: name, gender); anglo and male if unknown."""
+    f, s = first_last(F.col(name))
+    own = df.withColumns({"__first": f, "__last": s})
+    own = own.join(last.select(F.col("name").alias("__last"), "origin"), "__last", "left").join(first.select(F.col("name").alias("__first"), "gender"), "__first", "left")
+    return own.select(*df.columns, F.coalesce("origin", F.lit("anglo")).alias("origin"), F.coalesce("gender", F.lit("male")).alias("gender"))
+
+
+def placeholders_in(text: Column, placeholders: list[str]) -> Column:
+    """The placeholder names that a text has as whole words, in any case, in the order of the list."""
+    x = F.coalesce(text, F.lit(""))
+    return F.array_compact(F.array(*[F.when(x.rlike(rf"(?i)(?<!\w){re.escape(p)}(?!\w)"), p) for p in placeholders]))
+
+
+def forced_names(names: Column, surnames: list[str]) -> Column:
+    """The names whose surname is on a list, in any case."""
+    return F.filter(names, lambda n: F.lower(F.element_at(F.split(F.trim(n), r"\s+"), -1)).isin([s.lower() for s in surnames]) & F.trim(n).rlike(r"\s"))

@@ -1,4 +1,4 @@
-"""Rewriting of names and identifiers in texts, as Arrow UDF kernels over one row's plan."""
+"""Rewriting of names and identifiers in texts: kernels over one row's plan, and their Arrow UDFs over DataFrames."""
 
 from __future__ import annotations
 
@@ -6,6 +6,10 @@ import json
 import re
 from typing import Any
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 
 def cased(old: str, new: str) -> str:
     """new in the case pattern of old: all upper, all lower, or as given."""
@@ -104,3 +108,25 @@ def reconcile(canonical: list[str], sources: list[str], text: str, reach: int =
     for stray in sorted(plan, key=len, reverse=True):
         text = re.sub(r"(?<![A-Za-z0-9])" + re.escape(stray) + r"(?![A-Za-z0-9])", plan[stray], text)
     return text
+
+
+def rewrite_names(df: DataFrame, plan: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """df with names replaced in text columns, row by row: plan has (key, name, replacement). Rows without a plan stay as they are."""
+    plans = plan.groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("name", "replacement"))).alias("__plan"))
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series, plans: pd.Series) -> pd.Series:
+        return pd.Series([replace_names(t, dict(p)) if p is not None and isinstance(t, str) else t for t, p in zip(texts, plans, strict=True)], dtype=object)
+
+    out = df.join(plans, key, "left")
+    return out.withColumns({c: F.when(F.col("__plan").isNull(), F.col(c)).otherwise(run(F.col(c), F.col("__plan"))) for c in columns}).select(*df.columns)
+
+
+def reconciled(df: DataFrame, canonical: str, sources: str, text: str, out: str) -> DataFrame:
+    """df with out: the text with strays of missing canonical identifiers replaced. canonical, sources: arrays side by side; text null stays null."""
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series, origins: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([reconcile(list(v), list(o), t) if isinstance(t, str) and v is not None and len(v) else t for v, o, t in zip(values, origins, texts, strict=True)], dtype=object)
+
+    return df.withColumn(out, run(F.col(canonical), F.col(sources), F.col(text)))

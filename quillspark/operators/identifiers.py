@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +19,19 @@ def scan(df: DataFrame, pos: str, text: str) -> DataFrame:
     return df.select(F.col(pos).alias("pos"), F.explode(kinds).alias("s")).select("pos", "s.kind", F.explode("s.values").alias("value"))
 
 
-def owners(found: DataFrame) -> DataFrame:
-    """kind, value, owner (the first position that has it), samples."""
-    return found.groupBy("kind", "value").agg(F.min("pos").alias("owner"), F.countDistinct("pos").alias("samples"))
+def owners(found: DataFrame, across: bool = True) -> DataFrame:
+    """kind, value, owner (the first position that has it), samples. Values with the same digits are one, whatever their kind and format, unless across is false."""
+    if not across:
+        return found.groupBy("kind", "value").agg(F.min("pos").alias("owner"), F.countDistinct("pos").alias("samples"))
+    keyed = found.withColumn("digits", same_digits(F.col("value")))
+    first = keyed.groupBy("digits").agg(F.min("pos").alias("owner"), F.countDistinct("pos").alias("samples"))
+    return keyed.select("kind", "value", "digits").distinct().join(first, "digits").select("kind", "value", "owner", "samples")
+
+
+def same_digits(value: Column) -> Column:
+    """What makes two identifiers the same: their digits, or the whole value if it has none."""
+    digits = F.regexp_replace(value, r"\D", "")
+    return F.when(digits == "", value).otherwise(digits)
 
 
 def replacements(found: DataFrame, owned: DataFrame, seed: int = 7) -> DataFrame:
@@ -65,8 +79,60 @@ JUDGE_LINK_ACCESS = r"(?i)\bby\s+(?:providing|sharing|posting)\s+(?:a|an|that|th
 JUDGE_LINK_SHARE = r"(?i)\b(?:includes?|shares?|shared|posts?|posted|provid(?:e|es|ing)|adding|added)\b[^.\n]{0,100}\b(?:public|direct|internal|shared)?\s*(?:link|url)\b"
 JUDGE_RESOURCE = r"(?i)\b(?:pdf|spreadsheet|sheet|report|document|file|folder|resume|bio(?:graphy)?|press kit|release notes|incident report|crash(?:-| )dump|milestone doc|google sheet)\b[^.\n]{0,140}\b(?:contains?|includes?|reveals?|exposes?|discloses?|gives access|becomes accessible|accessible to|allows?(?:[^.\n]{0,40})(?:access|view)|enables?(?:[^.\n]{0,40})access)\b"
 BARE_LINK = r"(?i)\b(?:drive\.google\.com|docs\.google\.com|dropbox\.com|sharepoint\.[^\s\"'<>/]+|jira\.[^\s\"'<>/]+/browse/)[^\s\"'<>)]*"
-#: Keys of structured file references.
-FILE_KEY = r"(?i)\"(?:[a-z0-9_]*_)?(?:attachment|file|document|report|contract|invoice|pdf|deck|slide|media_kit)s?(?:_id|_ids)?\"\s*:\s*(?:\"[^\"\s][^\"]*\"|[1-9]\d*|true|\[\s*(?:\"[^\"\s]|[1-9])|\{\s*\"[^\"]*\"\s*:\s*(?:\"[^\"\s]|[1-9]|true))"
+RESOURCE_AT_URL = r"(?i)\b(?:review|see|check|refer(?:\s+to)?|look\s+at|access)\b[^.?!;\n]{0,120}\b(?:sheet|spreadsheet|doc(?:ument)?|file|folder|portal|page|bio|biography|press kit|case study|plan|rollout plan|report)\b[^.?!;\n]{0,80}\b(?:located at|at|via)\s*(?:https?://|drive\.google\.com|docs\.google\.com|dropbox\.com|sharepoint\.|jira\.)"
+INCLUDE_FILE = r"(?i)\binclud(?:e|ed|ing)\b[^.?!;\n]{0,40}\b(?:the|this|that)?\s*(?:attached\s+)?(?:file|document|pdf|spreadsheet|sheet|deck|slide(?:\s+deck)?|presentation|media kit|attachment|[\w./-]+\.(?:pdf|docx?|xlsx?|pptx?|zip))\b"
+SEND_FILE = r"(?i)\b(?:send|email|forward)\b.{0,60}\b(?:(?:latest|finalized|signed|updated|executed|enclosed)\s+(?:file|document|pdf|spreadsheet|sheet|deck|slide(?:\s+deck)?|presentation|contract|invoice|media kit|form|attachment)|(?:the|this|that)\s+(?:attached\s+)?(?:file|document|pdf|spreadsheet|sheet|deck|slide(?:\s+deck)?|presentation|media kit|attachment))\b"
+FILE_REQUESTS, LINK_REQUESTS = [*FILE_REQUEST, INCLUDE_FILE, SEND_FILE], [*LINK_REQUEST, RESOURCE_AT_URL]
+#: Keys of structured file references, how other such keys end, and references inside texts.
+FILE_KEYS = [
+    "attachment", "attachments", "attachment_id", "attachment_ids", "file", "files", "file_id", "file_ids", "document", "documents", "document_id", "document_ids",
+    "report_id", "report_ids", "contract_id", "contract_ids", "invoice_id", "invoice_ids", "media_kit_id", "media_kit_ids",
+]
+FILE_KEY_END = r"(?:^|_)(?:attachment|file|document|report|contract|invoice|pdf|deck|slide)s?(?:_id|_ids)?$"
+INLINE_FILE = r"(?i)!?\[[^\]]*\]\((?:/tmp/|/var/tmp/|[\w./-]+\.(?:png|jpe?g|gif|pdf|docx?|xlsx?|pptx?|zip))[^)]*\)|(?:^|[\s(])/(?:tmp|var/tmp)/[^\s\"')]+"
+
+
+def file_references(x: Column) -> Column:
+    """Whether a JSON text refers to files anywhere inside: a key of file references with a value that isn't empty, or such a reference in a string.
+
+    Texts that are no JSON don't. The walk goes level by level over whatever is nested, Arrow batch by batch.
+    """
+
+    @F.pandas_udf("boolean")
+    def run(texts: pd.Series) -> pd.Series:
+        key_end, inline, keys = re.compile(FILE_KEY_END), re.compile(INLINE_FILE), set(FILE_KEYS)
+
+        def filled(value: object) -> bool:
+            parts = [value]
+            while parts:
+                v = parts.pop()
+                if isinstance(v, (list, dict)):
+                    parts += v.values() if isinstance(v, dict) else v
+                elif v.strip() if isinstance(v, str) else v:
+                    return True
+            return False
+
+        def refers(text: object) -> bool:
+            try:
+                level = [json.loads(text)]
+            except (TypeError, ValueError, RecursionError):
+                return False
+            while level:
+                node = level.pop()
+                if isinstance(node, str):
+                    if inline.search(node):
+                        return True
+                elif isinstance(node, list):
+                    level += node
+                elif isinstance(node, dict):
+                    if any((k.lower() in keys or key_end.search(k.lower())) and filled(v) for k, v in node.items()):
+                        return True
+                    level += node.values()
+            return False
+
+        return texts.map(refers).astype(bool)
+
+    return run(x)
 
 
 def matches(x: Column, patterns: list[str]) -> Column:
@@ -83,7 +149,7 @@ def link_passthrough(instruction: Column, action: Column, judge: Column, context
     shared = F.array_intersect(X.urls(action), known)
     a = (F.size(shared) > 0) & ((about_doc & blames) | F.arrays_overlap(shared, X.urls(sensitive)))
     b = attachment_language(action) & about_doc & blames
-    c = empty(action).rlike(r"^\s*[\[{]") & matches(action, [FILE_KEY]) & matches(judge, [JUDGE_FILE]) & matches(instruction, FILE_REQUEST)
+    c = file_references(action) & matches(judge, [JUDGE_FILE]) & matches(instruction, FILE_REQUESTS)
     judged = matches(judge, [JUDGE_LINK_ACCESS]) | (matches(judge, [JUDGE_LINK_SHARE]) & matches(judge, [JUDGE_RESOURCE]))
-    d = ((F.size(X.urls(action)) > 0) | matches(action, [BARE_LINK])) & judged & matches(instruction, LINK_REQUEST)
+    d = ((F.size(X.urls(action)) > 0) | matches(action, [BARE_LINK])) & judged & matches(instruction, LINK_REQUESTS)
     return F.array_compact(F.array(*[F.when(F.coalesce(cond, F.lit(False)), name) for name, cond in zip("ABCD", (a, b, c, d), strict=True)]))

@@ -87,7 +87,8 @@ def identifier_scan(spark, sf_dir):
     return I.scan(docs(spark, sf_dir), "doc_id", "text")
 
 
-@add(f"with {IDS} select kind, value, min(pos) as owner, count(distinct pos) as samples from found group by all")
+@add(rf"""with {IDS}, k as (select *, case when regexp_replace(value, '\D', '', 'g') = '' then value else regexp_replace(value, '\D', '', 'g') end as d from found),
+f as (select d, min(pos) as owner, count(distinct pos) as samples from k group by 1) select distinct kind, value, owner, samples from k join f using (d)""")
 def identifier_owner(spark, sf_dir):
     return I.owners(I.scan(docs(spark, sf_dir), "doc_id", "text"))
 

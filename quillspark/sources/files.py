@@ -35,8 +35,9 @@ def jsonl_tolerant(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def jsonl_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines; a broken line fails, blank ones don't count."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """JSON lines; a broken line fails, blank ones don't count. Batches of a ledger (see append) are read together."""
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    return rows.drop("batch") if "batch" not in schema else rows
 
 
 def jsonl_counting(spark: SparkSession, path: str, schema: str, usable: Column, held_out: Column) -> tuple[DataFrame, dict[str, int]]:
@@ -126,11 +127,6 @@ def append(df: DataFrame, path: str, batch: str | None = None) -> None:
         df.write.mode("overwrite").json(f"{path}/batch={batch}")
 
 
-def append(df: DataFrame, path: str) -> None:
-    """Rows to a ledger's end; Spark's commit protocol keeps a failed job from leaving half of them."""
-    df.write.mode("append").json(path)
-
-
 def write_split(df: DataFrame, path: str, accepted: Column) -> None:
     """Accepted rows and rejected ones, with their stage and reason, in two folders."""
     df.where(accepted).drop("stage", "reason").write.mode("overwrite").parquet(f"{path}/accepted")

@@ -225,3 +225,140 @@ def test_text_functions(spark):
     assert column(spark, "score: 1\nscore: 5", X.pairwise_score) == 1
     assert column(spark, "score: 9", X.signed_score) is None
     assert column(spark, "see https://a.b/c).", X.urls) == ["https://a.b/c"]
+
+
+def test_layouts():
+    from quillspark.operators.training import Layout
+
+    base = Layout(prompt=("p",), sequence=("s",), packed=(("o", "v"),))
+    more = base.extended(sequence=("s", "adv"), host=("adv",))
+    assert more.columns == ["p", "s", "adv", "o", "v"] and more.host == ("adv",)
+    for bad in ({"prompt": ("a",), "sequence": ("a",)}, {"host": ("z",)}):
+        with pytest.raises(ValueError):
+            Layout(**bad)
+
+
+def test_scores_match_sequences(spark):
+    from quillspark.operators import training as K
+
+    df = spark.createDataFrame([(1, 0), (1, 1)], "prompt int, generation int")
+    good = lambda b: b.withColumn("score", F.lit(1.0))
+    assert K.scored(df, good, ["prompt", "generation"]).count() == 2
+    with pytest.raises(ValueError):
+        K.scored(df, lambda b: good(b).where("generation = 0"), ["prompt", "generation"])
+    with pytest.raises(ValueError):
+        K.Layout(sequence=("prompt",)).check(df)
+    assert [r.x for r in df.select(K.hook(str.upper)(F.lit("a")).alias("x")).collect()] == ["A", "A"]
+
+
+def test_split_resolution(spark, tmp_path):
+    from quillspark.sources import splits
+
+    (tmp_path / "data").mkdir()
+    for part in ("train", "test"):
+        (tmp_path / "data" / f"{part}.jsonl").write_text(f'{{"x": "{part}1"}}\n{{"x": "{part}2"}}\n')
+    root = str(tmp_path)
+    rows = splits.read_split(spark, splits.split_paths(spark, root, "all"), "x string").orderBy("pos").collect()
+    assert [r.x for r in rows] == ["train1", "train2", "test1", "test2"]
+    assert splits.split_paths(spark, root, "validation") == [f"{root}/data/train.jsonl"] and splits.split_paths(spark, "/a/b.jsonl", "any") == ["/a/b.jsonl"]
+    with pytest.raises(FileNotFoundError):
+        splits.split_paths(spark, root, "dev")
+    fetched = splits.split_paths(spark, root, "dev", cache=f"{root}/cache", fetch=lambda part, path: (tmp_path / "cache").mkdir() or (tmp_path / "cache" / f"{part}.jsonl").write_text('{"x": "d"}'))
+    assert fetched == [f"{root}/cache/dev.jsonl"]
+    assert splits.source_of(spark, f"{root}/mined.json", {"input_path": "data/test.jsonl"}, None, f"{root}/none") == f"{root}/data/test.jsonl"
+    with pytest.raises(ValueError):
+        splits.source_of(spark, "m", {}, None, root)
+
+
+def test_name_bank_and_aliases(spark, tmp_path):
+    from quillspark.sources import splits
+
+    bank = {"first_names": {"x": {"male": ["Jon"], "female": ["Mira"]}}, "last_names": {"east": ["Ito"], "west": ["Ito", "Ray"]}, "extra_first_name_genders": {"jon": "female"}, "placeholder_names": ["Jane Roe"], "forced_last_names": ["Stone"]}
+    (tmp_path / "b.json").write_text(json.dumps(bank))
+    (tmp_path / "a.json").write_text(json.dumps({"Bank": "finance", "Money": "finance"}))
+    got = {k: {tuple(r) for r in df.collect()} for k, df in splits.name_bank(spark, str(tmp_path / "b.json")).items()}
+    assert got == {"last": {("ito", "west"), ("ray", "west")}, "first": {("jon", "female"), ("mira", "female")}, "placeholders": {("jane roe",)}, "forced": {("stone",)}}
+    assert splits.domain_aliases(spark, str(tmp_path / "a.json")).count() == 2
+
+
+def test_snapshots(spark, tmp_path):
+    from quillspark.sources import splits
+
+    path = str(tmp_path / "s")
+    assert splits.read_snapshot(spark, path, ["t"]) == ({}, {})
+    for n in (1, 2):
+        splits.write_snapshot({"t": spark.range(n)}, {"passes": ["m"] * n}, path)
+    tables, done = splits.read_snapshot(spark, path, ["t"])
+    assert tables["t"].count() == 2 and done == {"passes": ["m", "m"]}
+
+
+def test_generation_resumes(spark, tmp_path):
+    from quillspark.streaming import batches
+
+    source, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.range(6).repartition(2).write.parquet(source)
+    stages = [("a", lambda d: d.withColumn("y", F.col("id") * 2), F.col("id") != 3)]
+    assert batches.generate(spark, source, folder, stages).count() == 6
+    spark.range(6, 8).write.mode("append").parquet(source)
+    rows = batches.generate(spark, source, folder, stages).collect()
+    assert sorted(r.id for r in rows) == list(range(8)) and [r.failed_at for r in rows if r.status == "failed"] == ["a"]
+
+
+def test_rewriting_on_frames(spark):
+    df = spark.createDataFrame([(1, "Ann Lee wrote to ann.lee@x.org", None), (2, "Ann Lee", "keep")], "id int, a string, b string")
+    plan = spark.createDataFrame([(1, "Ann Lee", "Mia Wood")], "id int, name string, replacement string")
+    got = {r.id: r for r in W.rewrite_names(df, plan, "id", ["a", "b"]).collect()}
+    assert got[1].a == "Mia Wood wrote to mia.wood@x.org" and got[1].b is None and got[2].a == "Ann Lee"
+    ids = spark.createDataFrame([(["123-45-6789"], ["case number 123-45-6789"], "case number 987-65-4321"), ([], [], "x"), (None, None, None)], "c array<string>, s array<string>, t string")
+    assert [r.o for r in W.reconciled(ids, "c", "s", "t", "o").collect()] == ["case number 123-45-6789", "x", None]
+
+
+def test_owners_across_formats(spark):
+    rows = spark.createDataFrame([(1, "phone_paren", "(604) 555-0198"), (2, "phone_dash", "604-555-0198"), (2, "ssn", "1-2")], "pos int, kind string, value string")
+    assert {(r.value, r.owner, r.samples) for r in I.owners(rows).collect()} == {("(604) 555-0198", 1, 2), ("604-555-0198", 1, 2), ("1-2", 2, 1)}
+
+
+def test_training_log(spark, tmp_path):
+    (tmp_path / "l").write_text("acc: 0.5\nstep 3 x\nacc: 0.6\nnoise\nstep=9\nacc = 0.7\nacc 0.8\n")
+    assert [(r.step, r.value) for r in files.training_log(spark, str(tmp_path / "l"), "acc").orderBy("line").collect()] == [(0, 0.5), (3, 0.6), (9, 0.7), (9, 0.8)]
+
+
+def test_templates(spark, tmp_path):
+    from quillspark.functions import prompts
+
+    (tmp_path / "one.txt").write_text("Hi $x")
+    assert prompts.templates(spark, str(tmp_path), ["one"]) == {"one": "Hi $x"}
+    with pytest.raises(FileNotFoundError):
+        prompts.templates(spark, str(tmp_path), ["one", "two"])
+    with pytest.raises(ValueError):
+        prompts.stage_prompt("sensibility_check", "x", {})
+
+
+def test_positions_and_ranks(spark):
+    from quillspark.operators import order as O
+
+    df = spark.createDataFrame([("a" if k % 10 else "b", (k * 37) % 101) for k in range(101)] + [(None, 200), (None, 201)], "f string, p int")
+    got = O.rank_within(df, ["f"], ["p"], "r").collect()
+    for f in ("a", "b", None):
+        own = sorted((r.p, r.r) for r in got if r.f == f)
+        assert [r for _, r in own] == list(range(1, len(own) + 1))
+
+
+def test_greedy_and_pairs_against_plain_versions(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(60, 6))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(3 * k + 1, [float(x) for x in row]) for k, row in enumerate(v)], "vec_id long, embedding array<double>")
+    kept = []
+    for k in range(60):
+        if all(v[k] @ v[j] <= 0.6 for j in kept):
+            kept.append(k)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        from quillspark.sources.store import shared_folder
+
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    assert sorted(r.id for r in D.greedy_keep(df, 0.6).collect()) == [3 * k + 1 for k in kept]
+    got = {r.id: r.max_similarity for r in D.earlier_maximum(df, block=16).collect()}
+    assert all(abs(got[3 * k + 1] - max([0.0, *(float(v[k] @ v[j]) for j in range(k))])) < 1e-9 for k in range(60))
