@@ -33,8 +33,8 @@ from quillspark.llm.common import give_back
 
 #: Stands for the end mark: no character of the byte alphabet.
 END = "\ue000"
-#: Entries of each half of a task's tables of known cuts and words, and of its table of tested pairs.
-MEMO, PAIRS = 100_000, 300_000
+#: Entries of each half of a task's tables of known cuts and words, and of its table of tested pairs; flags of keys asked for (a power of 2).
+MEMO, PAIRS, SEEN = 120_000, 500_000, 1 << 22
 #: Python's str.split() also parts at these, which are no white space to the tokenizer.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 SPACE = regex.compile(r"[\s--[\x1c-\x1f]]+", regex.V1)
@@ -60,11 +60,16 @@ class PrefixBpe:
             self.joined.setdefault((a, b), k)
             if a + b not in self.rank:
                 self.rank[a + b], self.parts[a + b] = k, (a, b)
-        self.apart: dict[tuple[str, str], bool] = {}
+        # tokens by number: a pair of tokens is one integer, and the automaton gives number, symbols, and whether the end mark is in it
+        self.symbols = {t for t in vocab if len(t) == 1 and t + end in vocab}
+        self.tokens = list(vocab)
+        self.apart: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
-        for token in vocab:
+        for k, token in enumerate(self.tokens):
             if self._stands(token):
-                self.automaton.add_word(self._mark(token), token)
+                marked = self._mark(token)
+                closing = marked.endswith(END)
+                self.automaton.add_word(marked, (k, len(marked) - closing, closing))
         self.automaton.make_automaton()
 
     def _mark(self, token: str) -> str:
@@ -95,19 +100,19 @@ class PrefixBpe:
             else:  # on the right the border merge comes first at equal rank, as merges run from the left
                 limit, right = min(limit, b + 1), self.parts[right][0]
 
-    def compatible(self, left: str, right: str) -> bool:
-        key = (left, right)
-        if (known := self.apart.get(key)) is None:
+    def compatible(self, pair: int) -> bool:
+        """Whether two tokens, left << 32 | right by number, stay apart."""
+        if (known := self.apart.get(pair)) is None:
             if len(self.apart) > PAIRS:
                 self.apart.clear()
-            known = self.apart[key] = self._apart_until(left, right, 1 << 60)
+            known = self.apart[pair] = self._apart_until(self.tokens[pair >> 32], self.tokens[pair & 0xFFFFFFFF], 1 << 60)
         return known
 
     def encode(self, word: str) -> list[str]:
         """Tokens of a pre-token given in the byte alphabet. Symbols that the vocabulary lacks are its unknown token, or dropped without one."""
-        if word and not (all(map(self.ids.__contains__, word[:-1])) and word[-1] + self.end in self.ids):
-            return self._with_unknown(word)
-        return self._known(word, self.end)
+        if self.symbols.issuperset(word) or not word:
+            return self._known(word, self.end)
+        return self._with_unknown(word)
 
     def _with_unknown(self, word: str) -> list[str]:
         known = [c in self.ids for c in word[:-1]] + [word[-1] + self.end in self.ids]
@@ -127,39 +132,59 @@ class PrefixBpe:
     def _known(self, word: str, end: str) -> list[str]:
         """end: the end mark where the word is closed, else empty."""
         n = len(word)
-        last: list[str | None] = [None] * (n + 1)
-        marked = len(word) - 1 if end else n
-        for at, token in self.automaton.iter(word + END if end else word):
-            closed = bool(end) and at == n
-            size = len(token) - (len(end) if closed else 0)
-            stop = n if closed else at + 1
-            if stop > n or last[stop] is not None or (not closed and stop > marked):
+        last, sizes = [-1] * (n + 1), [0] * (n + 1)
+        open_to = n - 1 if end else n
+        apart, compatible = self.apart, self.compatible
+        for at, (token, size, closing) in self.automaton.iter(word + END if end else word):
+            if not closing:
+                if at >= open_to:
+                    continue
+                at += 1
+            if last[at] >= 0:
                 continue
-            start = stop - size
-            if start == 0 or (last[start] is not None and self.compatible(last[start], token)):
-                last[stop] = token
+            if at != size:
+                if (left := last[at - size]) < 0:
+                    continue
+                pair = left << 32 | token
+                if (known := apart.get(pair)) is None:
+                    known = compatible(pair)
+                if not known:
+                    continue
+            last[at] = token
+            sizes[at] = size
         out, k = [], n
         while k > 0:
-            token = last[k]
-            if token is None:
+            if last[k] < 0:
                 raise ValueError(f"no token of the vocabulary ends at {k}")
-            out.append(token)
-            k -= len(token) - (len(end) if end and k == n else 0)
+            out.append(self.tokens[last[k]])
+            k -= sizes[k]
         return out[::-1]
 
 
 class Memo:
-    """A bounded table that forgets what was not asked for lately: when the young half is full, it becomes the old one."""
+    """A bounded table of what recurs: a key enters when it is asked for again, and what was not asked for lately is forgotten.
+
+    When the young half is full, it becomes the old one. Keys that were asked for are known by a bit of their hash, so that
+    the many that occur once don't push out the others.
+    """
 
     def __init__(self, size: int):
         self.size, self.young, self.old = size, {}, {}
+        self.asked = bytearray(SEEN)
 
     def get(self, key: str):
         if (found := self.young.get(key)) is None and (found := self.old.get(key)) is not None:
-            self.put(key, found)
+            self._enter(key, found)
         return found
 
     def put(self, key: str, value) -> None:
+        k = hash(key) & (SEEN - 1)
+        if self.asked[k]:
+            self._enter(key, value)
+        else:
+            self.asked[k] = 1
+
+    def _enter(self, key: str, value) -> None:
         if len(self.young) >= self.size:
             self.old, self.young = self.young, {}
         self.young[key] = value
@@ -175,15 +200,18 @@ class WordEncoder:
         self.special_at = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.split = regex.compile(d["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.bpe = PrefixBpe(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]], model.get("end_of_word_suffix") or "", model.get("unk_token"), bool(model.get("fuse_unk")))
-        self.vocab = model["vocab"]
+        self.pieces = {t: (k.to_bytes(4, "little"), " " + t) for t, k in model["vocab"].items()}
         self.alphabet = byte_alphabet()
         self.cuts, self.words = Memo(MEMO), Memo(MEMO)
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        self.plain = self.split.findall(letters) == [letters] and not any(t.isalpha() for t in self.special)
 
     def word(self, word: str) -> tuple[bytes, str]:
         """Ids and tokens of a pre-token; words without the punctuation around them recur far more often than cuts."""
         if (known := self.words.get(word)) is None:
-            found = self.bpe.encode("".join([self.alphabet[b] for b in word.encode()]))
-            known = b"".join([self.vocab[t].to_bytes(4, "little") for t in found]), "".join([" " + t for t in found])
+            shown = word if word.isascii() and word.isalnum() else "".join([self.alphabet[b] for b in word.encode()])
+            found = [self.pieces[t] for t in self.bpe.encode(shown)]
+            known = found[0] if len(found) == 1 else (b"".join([a for a, _ in found]), "".join([b for _, b in found]))
             if len(word) <= 64:
                 self.words.put(word, known)
         return known
@@ -191,6 +219,11 @@ class WordEncoder:
     def cut(self, part: str) -> tuple[bytes, str]:
         """Ids and tokens of a text without white space."""
         if (known := self.cuts.get(part)) is None:
+            if self.plain and part.isascii() and part.isalpha():  # no border of a pre-token inside, no special string
+                known = self.word(part.lower())
+                if len(part) <= 64:
+                    self.cuts.put(part, known)
+                return known
             found = []
             for text in self.special_at.split(part) if self.special_at else [part]:
                 if text in self.special:
@@ -199,7 +232,7 @@ class WordEncoder:
                     plain = text if text.isascii() else unicodedata.normalize("NFC", text)
                     plain = plain.lower() if plain.isascii() else "".join(map(str.lower, plain))
                     found += map(self.word, self.split.findall(plain))
-            known = b"".join([a for a, _ in found]), "".join([b for _, b in found])
+            known = found[0] if len(found) == 1 else (b"".join([a for a, _ in found]), "".join([b for _, b in found]))
             if len(part) <= 64:
                 self.cuts.put(part, known)
         return known
