@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.llm.bpe import Memo
 from quillspark.llm.common import give_back, held_out, materialise, read_table, sample_order
 
 #: Bounds of the sample to learn from.
@@ -44,17 +45,39 @@ def word_features(word: str) -> list[int]:
 
 
 WIDTH = 11
+#: Hashes of the letters that stand before words, prefixes and suffixes, from which theirs go on.
+WORD_SEED, PREFIX_SEED, SUFFIX_SEED, MOD = crc32(b"w"), crc32(b"p"), crc32(b"s"), BUCKETS - 1
 
 
 class ChainModel:
     def __init__(self) -> None:
         self.w = np.zeros(BUCKETS, dtype=np.float64)
+        self.flat: list[float] | None = None
         self.bias = -3.0
         self.trans = np.zeros((2, 2))
         self.doc = np.array([-3.0, 0.0, 0.0, 0.0])
 
     def emission(self, word: str) -> float:
-        return float(self.bias + sum(self.w[k] for k in word_features(word)))
+        """The sum of the weights of word_features(word); an ASCII word's prefixes are hashed one letter after the other."""
+        if self.flat is None:
+            self.flat = self.w.tolist()
+        w, raw = self.flat, word.encode("utf-8", "replace")
+        n = len(raw)
+        if n != len(word):
+            return float(self.bias + sum([w[k] for k in word_features(word)]))
+        total = w[1 + crc32(raw, WORD_SEED) % MOD]
+        if n > 1:
+            c = crc32(raw[:2], PREFIX_SEED)
+            total += w[1 + c % MOD]
+            for k in range(2, min(n, 8)):
+                c = crc32(raw[k : k + 1], c)
+                total += w[1 + c % MOD]
+            for k in range(2, min(n, 4) + 1):
+                total += w[1 + crc32(raw[-k:], SUFFIX_SEED) % MOD]
+        return float(self.bias + total)
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "flat": None}
 
     def marginals(self, emissions: list[np.ndarray]) -> list[np.ndarray]:
         """P(toxic) of each token of each document: documents side by side, longest first, one step of all at a time.
@@ -284,15 +307,19 @@ def score_toxicity(docs: DataFrame, model: ChainModel, text_col: str = "text", s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        memo: dict[str, tuple[float, ...]] = {}
+        memo, words = Memo(MEMO), Memo(MEMO)
+
+        def of(word: str) -> float:
+            if (known := words.get(word)) is None:
+                known = model.emission(word)
+                words.put(word, known)
+            return known
 
         def cut(part: str) -> tuple[float, ...]:
             if (known := memo.get(part)) is None:
-                known = tuple(model.emission(w) for w in WORD.findall(part.lower()))
-                if len(memo) >= MEMO:
-                    memo.clear()
+                known = tuple(map(of, WORD.findall(part.lower())))
                 if len(part) <= 64:
-                    memo[part] = known
+                    memo.put(part, known)
             return known
 
         for whole in batches:
@@ -304,7 +331,8 @@ def score_toxicity(docs: DataFrame, model: ChainModel, text_col: str = "text", s
                 if with_spans:
                     columns.append(pa.array([[dict(zip(("start", "end", "p"), s, strict=True)) for s in spans(model, t)] if (p >= 0.5).any() else [] for t, p in zip(texts, found, strict=True)], pa.list_(pair)))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
-        memo.clear()
+        del memo, words
+        model.flat = None
         give_back()
 
     return docs.mapInArrow(run, T.StructType(fields))
