@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from quillspark.llm.bpe import byte_alphabet
+from quillspark.llm.bpe import Memo, byte_alphabet
 from quillspark.llm.common import give_back, materialise, sample_order
 
 #: Most rows of the broadcast table, their bytes together, and the longest pre-token in it.
@@ -123,7 +123,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spec, head = shared.value
         split = Splitter(specials(spec))
-        memo: dict[str, tuple[int, tuple[str, ...]]] = {}
+        memo = Memo(MEMO)
         for batch in batches:
             n_bytes, n_head, rest = [], [], []
             for text in batch.column(1):
@@ -134,10 +134,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, text_col:
                     if (known := memo.get(part)) is None:
                         found = split.find(part)
                         known = sum(head.get(x, 0) for x in found), tuple(x for x in found if x not in head)
-                        if len(memo) >= MEMO:
-                            memo.clear()
                         if len(part) <= 64:
-                            memo[part] = known
+                            memo.put(part, known)
                     n += k * known[0]
                     for x in known[1]:
                         tail[x] = tail.get(x, 0) + k
@@ -145,7 +143,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, text_col:
                 n_head.append(n)
                 rest.append([{"pretoken": x, "k": k} for x, k in tail.items()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_head, pa.int64()), pa.array(rest, pa.list_(pair))], names=schema.names)
-        memo.clear()
+        del memo
         give_back()
 
     base = materialise(flat.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "pretokens")
