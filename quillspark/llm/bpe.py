@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quillspark.llm.common import give_back
+from quillspark.llm.common import bounded_batches, give_back
 
 #: Stands for the end mark: no character of the byte alphabet.
 END = "\ue000"
@@ -267,6 +267,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, text_col: str = "text", k
     token; its digests are those of nothing. Special strings inside texts are special tokens. No shuffle.
     """
     keep = ["doc_id"] if keep is None else keep
+    bounded_batches(docs.sparkSession)
     with open(vocabulary, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
     fields = [docs.schema[c] for c in keep] + SCHEMA.fields

@@ -58,6 +58,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch, at most: a row is a whole document.
+ARROW_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session have at most ARROW_ROWS rows, as a batch of documents is held by the JVM and by Python at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def give_back() -> None:
     """At the end of a task: what it freed goes back to the system, as Python workers live on for tasks of other operators."""
     gc.collect()

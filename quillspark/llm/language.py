@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import give_back, held_out, read_table, sample_order
+from quillspark.llm.common import bounded_batches, give_back, held_out, read_table, sample_order
 
 #: Bounds of the training sample.
 PER_LANGUAGE, SAMPLE = 400, 12_800
@@ -140,6 +140,7 @@ def identify(docs: DataFrame, train: DataFrame, text_col: str = "text", lang_col
     sample (doc_id). A null text, or one without a letter, is `und` with score 0. With no row to learn from, every row
     is `und`. docs must not have columns named label or score. Equal texts get equal answers; no shuffle of docs.
     """
+    bounded_batches(docs.sparkSession)
     known = train.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     model = fit(known, text_col, lang_col, order or ["doc_id"])
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import few, give_back, materialise, read_table
+from quillspark.llm.common import bounded_batches, few, give_back, materialise, read_table
 
 SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 32, 5
@@ -143,6 +143,7 @@ class Corpus:
 
     def __init__(self, docs: DataFrame, size: int, percent: int):
         self.docs, self.size, self.percent = docs, size, percent
+        bounded_batches(docs.sparkSession)
         self.rows = materialise(with_sets(docs, size), "sets")
         classes = self.rows.where("n > 0").groupBy("key").agg(F.max("minima").alias("minima"), F.min("rid").alias("rid"), F.min("id").alias("id"), F.count("*").alias("rows"))
         self.classes = materialise(classes, "classes")

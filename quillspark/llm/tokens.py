@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from quillspark.llm.bpe import Memo, byte_alphabet
-from quillspark.llm.common import give_back, materialise, sample_order
+from quillspark.llm.common import bounded_batches, give_back, materialise, sample_order
 
 #: Most rows of the broadcast table, their bytes together, and the longest pre-token in it.
 HEAD, HEAD_TOTAL, HEAD_BYTES = 150_000, 8 << 20, 4096
@@ -113,6 +113,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, text_col:
     A null or empty text has 0 bytes and 0 tokens. Equal rows are counted one by one. Ids may be null or repeat.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     with open(vocabulary, encoding="utf-8") as f:
         spec = f.read()
     flat = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))

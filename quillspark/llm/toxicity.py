@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm.bpe import Memo
-from quillspark.llm.common import give_back, held_out, materialise, read_table, sample_order
+from quillspark.llm.common import bounded_batches, give_back, held_out, materialise, read_table, sample_order
 
 #: Bounds of the sample to learn from.
 TOXIC, CLEAN, SAMPLE_CHARS = 2000, 4000, 24_000_000
@@ -298,6 +298,7 @@ def score_toxicity(docs: DataFrame, model: ChainModel, text_col: str = "text", s
     A null or empty text, or one without letters, has the score of a text without toxic tokens, and no span. Rows are
     scored one by one, equal rows equally. docs must not have columns of these names.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
     fields = [*docs.schema.fields, T.StructField(score, T.DoubleType())]
