@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,7 +63,17 @@ def hyphens(x: Column) -> Column:
     return F.translate(x, DASHES, "-" * len(DASHES))
 
 
+def ascii_fold(x: Column) -> Column:
+    """Characters by their compatible decomposition, and of that what is ASCII: letters lose their marks. An Arrow function."""
+
+    def fold(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode(), na_action="ignore")
+
+    return F.pandas_udf(fold, "string")(x)
+
+
 def payload_words(x: Column) -> Column:
+    """Words of a plain text; parsers.payload_words walks completions that are JSON."""
     return F.size(F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(PAYLOAD_WORD), F.lit(0)))
 
 
@@ -128,12 +141,16 @@ def strict_flag(x: Column) -> Column:
 
 
 def email_parts(name: Column, email: Column) -> Column:
-    """prefix, surname token, digits, rest and domain of an address that starts with the first name or its initial; else null."""
+    """prefix, surname token, digits, rest and domain of an address that starts with the first name or its initial; else null.
+
+    Names are compared without marks on their letters. The domain starts behind the first @.
+    """
     n = F.split(F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), r"\s+", " ")), " ")
-    fold = lambda x: F.regexp_replace(F.lower(x), r"[^a-z0-9]+", "")
+    fold = lambda x: F.regexp_replace(F.lower(ascii_fold(x)), r"[^a-z0-9]+", "")
     first, last = fold(n.getItem(0)), fold(F.element_at(n, -1))
     mail = F.lower(F.trim(F.coalesce(email, F.lit(""))))
-    local, domain = F.substring_index(mail, "@", 1), F.substring_index(mail, "@", -1)
+    local = F.substring_index(mail, "@", 1)
+    domain = F.substr(mail, F.length(local) + 2)
     pattern = r"^([a-z0-9]+)([._-])([a-z]+)(\d*)((?:[._-][a-z0-9]+)*)$"
     part = lambda k: F.regexp_extract(local, pattern, k)
     ok = mail.contains("@") & (F.size(n) >= 2) & (F.length(first) >= 2) & (F.length(last) >= 3) & (F.length(part(3)) >= 3) & ((part(1) == first) | (part(1) == F.substring(first, 1, 1)))

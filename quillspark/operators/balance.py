@@ -12,6 +12,8 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.order import with_position
+
 #: Hash ranges per category.
 RANGES = 64
 
@@ -248,8 +250,37 @@ def exact_caps(df: DataFrame, fields: dict[str, Column], caps: dict[str, float],
 
 def weighted_order(weight: Column, key: Column, seed: int = 42) -> Column:
     """Order key of weighted sampling without replacement: the first k rows by it, descending, are a sample of k."""
-    u = (F.conv(F.substring(F.sha1(F.concat(F.lit(f"{seed}:"), key)), 1, 12), 16, 10).cast("double") + 1) / F.lit(float(16**12 + 1))
-    return F.ln(u) / weight
+    return F.ln(uniform(key, seed)) / weight
+
+
+def uniform(key: Column, seed: int) -> Column:
+    """A number between 0 and 1 that follows from key and seed."""
+    return (F.conv(F.substring(F.sha1(F.concat(F.lit(f"{seed}:"), key)), 1, 12), 16, 10).cast("double") + 1) / F.lit(float(16**12 + 1))
+
+
+def draw_names(bank: DataFrame, draws: int, alpha: float, penalty: float, seed: int = 42) -> DataFrame:
+    """place (from 1), name, soft: so many weighted draws from a bank of name, frequency, used (how often it was drawn before).
+
+    Unused names go first, each once, by weights of frequency ** alpha. Then all names are drawn again, softly, by
+    frequency ** alpha / (1 + penalty * times used) ** 2. A weight depends on its own name's uses only, so draws one after
+    the other are a race: a name's next draw comes after an exponential time of its weight, and the earliest ones are
+    drawn. Draws of a name are made in advance, and twice as many if one runs out. Rows of one name count as one
+    with the sum of their weights and the most uses; null names and frequencies that aren't positive are never drawn.
+    """
+    names = bank.where("name is not null and frequency > 0").groupBy("name").agg(F.sum(F.pow(F.col("frequency").cast("double"), alpha)).alias("w"), F.coalesce(F.max("used"), F.lit(0)).alias("used"))
+    fresh = names.where("used <= 0").select("name", F.lit(False).alias("soft"), F.lit(0).alias("k"), (-weighted_order(F.col("w"), F.concat(F.lit("0:"), "name"), seed)).alias("at"))
+    more = draws - fresh.count()
+    ahead = min(4, more + 1)
+    while True:
+        found = fresh
+        if more > 0:
+            weight = F.col("w") / F.pow(1 + penalty * (F.greatest("used", F.lit(1)) + F.col("k") - 1), F.lit(2))
+            waits = names.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(ahead)))).withColumn("wait", -weighted_order(weight, F.concat(F.col("k").cast("string"), F.lit(":"), "name"), seed))
+            found = fresh.union(waits.select("name", F.lit(True), "k", F.sum("wait").over(Window.partitionBy("name").orderBy("k"))))
+        drawn = found.orderBy("soft", "at", "name").limit(draws)
+        if more <= 0 or ahead > more or (drawn.agg(F.max("k")).first()[0] or 0) < ahead:
+            return with_position(drawn, [F.col("soft"), F.col("at"), F.col("name")], "place").select((F.col("place") + 1).alias("place"), "name", "soft")
+        ahead = min(2 * ahead, more + 1)
 
 
 def excess_names(df: DataFrame, name: str, id_col: str, most: int, listed: list[str], seed: int = 42) -> DataFrame:

@@ -84,6 +84,15 @@ def weighted_name_sample(spark, sf_dir):
     return top.select("id", F.row_number().over(Window.orderBy(F.desc("o"), "id")).cast("long").alias("place"))
 
 
+@add("""with b as (select n_name as name, sqrt(1 + n_nationkey) as w, n_nationkey % 3 as used from nation), u as (select name, w, used, k, ln((('0x' || substr(sha1('42:' || k || ':' || name), 1, 12))::bigint::double + 1) / (pow(16, 12) + 1)) as l from b, range(0, 61) r(k)),
+t as (select name, false as soft, -l / w as due from u where k = 0 and used = 0 union all select name, true, sum(-l / w * pow(1 + 0.5 * (greatest(used, 1) + k - 1), 2)) over (partition by name order by k) from u where k > 0)
+select place, name, soft from (select name, soft, row_number() over (order by soft, due, name) as place from t) where place <= 60""")
+def soft_name_draws(spark, sf_dir):
+    """More draws than unused names: each of those once, then any, those drawn often more rarely."""
+    bank = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), (1 + F.col("n_nationkey")).alias("frequency"), (F.col("n_nationkey") % 3).alias("used"))
+    return B.draw_names(bank, 60, 0.5, 0.5)
+
+
 @add("select id, surname from (select p_partkey as id, split_part(p_name, ' ', 2) as surname, row_number() over (partition by split_part(p_name, ' ', 2) order by sha1('42:' || p_partkey), p_partkey) as rank from part) where surname in ('ring', 'widget') and rank > 20")
 def surname_excess(spark, sf_dir):
     df = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.split("p_name", " ").getItem(1).alias("surname"))

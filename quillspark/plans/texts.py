@@ -38,6 +38,18 @@ def word_counts(spark, sf_dir):
     return rollouts(spark, sf_dir).select("prompt", "generation", "n_words", X.payload_words(F.col("text")).alias("payload_words"), F.md5(X.truncate_words(F.col("text"), 20)).alias("truncated"))
 
 
+SAID = "len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+(?:[''-][A-Za-z0-9]+)?'))"
+
+
+@add(with_sql(f"select prompt, generation, (case generation % 3 when 0 then 2 * {SAID} else {SAID} end)::int as said from rollouts", "rollouts"))
+def payload_word_counts(spark, sf_dir):
+    """Texts inside tool calls, inside JSON behind reasoning, and as they are."""
+    call = F.to_json(F.struct(F.lit("tool_use").alias("type"), F.lit("Send").alias("name"), F.struct(F.col("role").alias("To"), F.col("text").alias("body"), F.array(F.struct(F.lit("a note").alias("title"), F.col("text").alias("quote"))).alias("parts")).alias("arguments")))
+    behind = F.concat(F.lit("<think>so many words</think>\n```json\n"), F.to_json(F.struct(F.col("text").alias("subject"), F.col("text").alias("message"))), F.lit("\n```"))
+    said = F.when(F.col("generation") % 3 == 0, call).when(F.col("generation") % 3 == 1, behind).otherwise(F.col("text"))
+    return rollouts(spark, sf_dir).select("prompt", "generation", P.arrow(P.payload_words, "int")(said).alias("said"))
+
+
 HEALTH_SQL = ", ".join("case when regexp_matches(t, '{}', 'i') then '{}' end".format(p.replace("'", "''"), k) for k, p in HEALTH_SIGNALS.items())
 
 
@@ -216,6 +228,22 @@ def email_repair(spark, sf_dir):
     return out.select("id", F.when(F.col("stale") & (F.col("p.surname") != F.col("p.last")), fixed).otherwise(F.col("email")).alias("email"))
 
 
+PLAIN = "regexp_replace(lower(strip_accents({})), '[^a-z0-9]+', '', 'g')"
+
+
+@add(f"""with m as (select c_custkey as id, ['José', 'Zoë', 'Łucja', 'ÅSA'][(c_custkey % 4 + 1)::int] as first, ['Núñez', 'Ibáñez', 'Gärtner'][(c_custkey % 3 + 1)::int] as last from customer), p as (select *, {PLAIN.format('first')} as f, {PLAIN.format('last')} as l from m)
+select id, case when id % 5 > 0 then case when id % 2 = 0 then f else f[1] end end as prefix, case when id % 5 > 0 then 'oldname' end as surname, case when id % 5 > 0 then l end as last, case when id % 5 > 0 then 'x@mail.org' end as domain from p""")
+def email_accents(spark, sf_dir):
+    key = F.col("c_custkey")
+    first = F.element_at(F.array(*map(F.lit, ("José", "Zoë", "Łucja", "ÅSA"))), (key % 4 + 1).cast("int"))
+    prefix = F.element_at(F.array(*map(F.lit, ("jose", "zoe", "ucja", "asa"))), (key % 4 + 1).cast("int"))
+    last = F.element_at(F.array(*map(F.lit, ("Núñez", "Ibáñez", "Gärtner"))), (key % 3 + 1).cast("int"))
+    local = F.when(key % 5 == 0, "qq").when(key % 2 == 0, prefix).otherwise(F.substring(prefix, 1, 1))
+    df = table(spark, sf_dir, "customer").select(key.alias("id"), F.concat_ws(" ", first, last).alias("name"), F.concat(local, F.lit(".oldname7@x@mail.org")).alias("email"))
+    p = df.withColumn("p", X.email_parts(F.col("name"), F.col("email")))
+    return p.select("id", "p.prefix", "p.surname", "p.last", "p.domain")
+
+
 @add("select c_custkey as id, case c_custkey % 4 when 0 then ['Ana Silva', 'Bo Li'] when 1 then ['Jo Ann Ray'] when 2 then []::varchar[] else ['Li Wei'] end as names from customer")
 def name_extract(spark, sf_dir):
     cases = ["Dr. Ana Silva, clerk and Bo Li, nurse at X and co", "Jo  Ann Ray", "the landlord and 3 Friends", "Li Wei, cook and Li Wei"]

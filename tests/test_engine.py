@@ -362,3 +362,45 @@ def test_greedy_and_pairs_against_plain_versions(spark):
     assert sorted(r.id for r in D.greedy_keep(df, 0.6).collect()) == [3 * k + 1 for k in kept]
     got = {r.id: r.max_similarity for r in D.earlier_maximum(df, block=16).collect()}
     assert all(abs(got[3 * k + 1] - max([0.0, *(float(v[k] @ v[j]) for j in range(k))])) < 1e-9 for k in range(60))
+
+
+def test_payload_words():
+    assert P.payload_words(None) == P.payload_words("") == P.payload_words("{}") == 0
+    assert P.payload_words("it's a well-known fact") == 4
+    assert P.payload_words('<think>a b</think>{"type": "x y", "arguments": {"To": "a", "body": ["one two", {"note": "three", "url": "u"}], "n": 5}}') == 3
+    assert P.payload_words('{"arguments": "one two", "text": "three", "cc": ["four"]}') == 3
+    assert P.payload_words('[{"a": "b c"}]') == 3
+    assert P.payload_words("[" * 200_000) == 0
+
+
+def test_email_parts_fold_marks(spark):
+    rows = [("José Núñez", "jose.nunez7@a.b"), ("José Núñez", "j_oldname@a@b"), ("Łucja Gärtner", "ucja-gartner.x@c"), ("José Núñez", "josé.nunez@a"), (None, "a.b@c"), ("Jo Li", "jo.li@c"), ("José Núñez", None), ("ﬁona ½lamb", "fiona.lamb@c")]
+    got = [r.p for r in spark.createDataFrame(rows, "n string, e string").select(X.email_parts(F.col("n"), F.col("e")).alias("p")).collect()]
+    assert [(p.prefix, p.surname, p.digits, p.last, p.domain) if p else None for p in got] == [
+        ("jose", "nunez", "7", "nunez", "a.b"), ("j", "oldname", "", "nunez", "a@b"), ("ucja", "gartner", "", "gartner", "c"), None, None, None, None, ("fiona", "lamb", "", "12lamb", "c"),
+    ]
+
+
+def test_draw_names(spark):
+    bank = lambda rows: spark.createDataFrame(rows, "name string, frequency double, used int")
+    assert B.draw_names(bank([]), 5, 1.0, 1.0).count() == 0
+    got = B.draw_names(bank([("a", 5.0, 0), ("b", 1.0, 3), ("c", 1.0, None), (None, 9.0, 0), ("d", 0.0, 0), ("a", 1.0, 0)]), 12, 1.0, 1.0).orderBy("place").collect()
+    assert [r.place for r in got] == list(range(1, 13)) and {r.name for r in got[:2]} == {"a", "c"} and [r.soft for r in got] == [False] * 2 + [True] * 10
+    assert {r.name for r in got} <= {"a", "b", "c"}
+    few = B.draw_names(bank([("a", 5.0, 0), ("b", 1.0, 0), ("c", 1.0, 0)]), 2, 1.0, 1.0).collect()
+    assert len({r.name for r in few}) == 2 and not any(r.soft for r in few)
+
+
+def test_draw_names_law(spark):
+    """The share of seeds by which the second soft draw repeats the first is what drawing one after the other gives."""
+    rows = [("a", 2.0, 1), ("b", 1.0, 1)]
+    bank = spark.createDataFrame(rows, "name string, frequency double, used int").cache()
+    u = lambda k: F.concat(F.lit(f"{k}:"), F.col("name"))
+    one = lambda k: -B.weighted_order(F.col("frequency") / (1 + k) ** 2, F.concat(F.col("s").cast("string"), F.lit(":"), u(k)), 42)
+    times = bank.crossJoin(spark.range(20_000).withColumnRenamed("id", "s")).select("s", "name", one(1).alias("t1"), (one(1) + one(2)).alias("t2"))
+    side = times.groupBy("s").pivot("name", ["a", "b"]).agg(F.first("t1").alias("t1"), F.first("t2").alias("t2"))
+    got = side.agg(F.avg(((F.col("a_t2") < F.col("b_t1")) | (F.col("b_t2") < F.col("a_t1"))).cast("int"))).first()[0]
+    a, b, a2, b2 = 2 / 4, 1 / 4, 2 / 9, 1 / 9
+    want = a / (a + b) * a2 / (a2 + b) + b / (a + b) * b2 / (b2 + a)
+    assert abs(got - want) < 0.02
+    bank.unpersist()
