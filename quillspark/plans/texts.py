@@ -152,6 +152,52 @@ def trajectory_steps(spark, sf_dir):
     return parsed.withColumn("q", P.arrow(P.parse_steps, P.STEPS)(again)).select("user_id", F.size("p").alias("steps"), F.size("q").alias("again"), F.transform("q", lambda x: x["action"]).alias("actions"))
 
 
+#: The last yes or no of a text, for texts without a stricter mark.
+LAST_YES_NO = r"case lower(regexp_extract_all(text, '\b(yes|no)\b', 0, 'i')[-1]) when 'yes' then true when 'no' then false end"
+
+
+@add(with_sql(f"select prompt, generation, case when n_words = 0 or generation % 4 < 2 then n_words % 2 = 0 else {LAST_YES_NO} end as verdict, case when generation % 4 >= 2 then n_words % 5 - 2 when generation % 4 = 1 then 2 end::int as score, case when generation % 4 = 3 then n_words % 5 - 2 when generation % 4 = 1 then 2 end::int as signed from rollouts", "rollouts"))
+def verdicts_in_prose(spark, sf_dir):
+    """Verdicts and scores behind whole texts, behind reasoning that says the opposite, in JSON, and on a line of their own. A score that only reasoning has counts."""
+    k, even = F.col("generation") % 4, F.col("n_words") % 2 == 0
+    score = (F.col("n_words") % 5 - 2).cast("string")
+    line = F.concat("text", F.lit("\n**Final Answer:** "), F.when(even, "Yes").otherwise("No"))
+    behind = F.concat(F.lit("<think>Answer: "), F.when(even, "No").otherwise("Yes"), F.lit("\nScore: 2\n"), "text", F.lit("</think>\nMy verdict is: "), F.when(even, "yes").otherwise("no"))
+    said = F.when(k == 0, line).when(k == 1, behind).when(k == 2, F.concat(F.lit('```json\n{"score": '), score, F.lit("}\n```\n"), "text")).otherwise(F.concat("text", F.lit("\nScore: "), score))
+    return rollouts(spark, sf_dir).select("prompt", "generation", X.yes_no(said).alias("verdict"), X.pairwise_score(said).alias("score"), X.signed_score(said).alias("signed"))
+
+
+@add(with_sql("""select prompt, generation, n_words % 2 = 0 as leaks, n_words % 3 = 0 as omits, case when generation % 3 < 2 then md5(text) end as why, case when generation % 3 < 2 then n_words % 2 = 0 end as strict_leaks,
+['A', 'B', null][(n_words % 3 + 1)::int] as better from rollouts""", "rollouts"))
+def judgments_in_prose(spark, sf_dir):
+    """Judgments of two parsers with whole texts as explanation: the last line, behind reasoning with a judgment of its own, and key: value lines."""
+    k, leaks, omits = F.col("generation") % 3, F.col("n_words") % 2 == 0, F.col("n_words") % 3 == 0
+    flags = lambda c: F.when(c, "true").otherwise("false")
+    own = F.to_json(F.struct(leaks.alias("leaks"), omits.alias("omits"), F.col("text").alias("leaks_explanation")))
+    other = F.to_json(F.struct((~leaks).alias("leaks"), (~omits).alias("omits")))
+    lines = F.concat(F.lit("Leaks: "), flags(leaks), F.lit("\nomits = "), flags(omits), F.lit("\n"))
+    said = F.when(k == 0, F.concat(F.lit("I read it.\n"), own)).when(k == 1, F.concat(F.lit("<think>"), other, F.lit("</think>\n"), own)).otherwise(lines)
+    who = F.element_at(F.array(*map(F.lit, ("Agent A is better", "Agent A leaks far more", "a tie"))), (F.col("n_words") % 3 + 1).cast("int"))
+    pair = F.concat(F.lit("**EXPLANATION:** "), "prompt", F.lit(" of "), "generation", F.lit("\n**VERDICT:** "), who, F.lit("\n**COMPARISON:** "), "prompt")
+    better = P.arrow(P.verdict, "struct<differ: boolean, better: string, verdict: string>")(pair)["better"]
+    df = rollouts(spark, sf_dir).withColumn("j", P.arrow(P.judgment, P.JUDGMENT)(said)).withColumn("s", P.arrow(P.pointwise, P.JUDGMENT)(said)).withColumn("better", better)
+    return df.select("prompt", "generation", F.col("j.leaks").alias("leaks"), F.col("j.omits").alias("omits"), F.when(k < 2, F.md5("j.explanation")).alias("why"), F.col("s.leaks").alias("strict_leaks"), "better")
+
+
+@add("""select user_id, (row_number() over (partition by user_id order by ts, event_id))::int as step, event_type as action, '{"k": "' || event_id || '", "at": ["' || event_type || '"]}' as action_input, case when event_id % 5 > 0 then '"seen ' || event_id || '"' else '' end as observation from events""")
+def trajectory_contents(spark, sf_dir):
+    """Events as blocks of JSON lines, parsed, rendered and parsed again: names, arguments and observations; a result with another use's id is none."""
+    key = F.col("event_id").cast("string")
+    use = F.to_json(F.struct(F.lit("tool_use").alias("type"), key.alias("id"), F.col("event_type").alias("name"), F.struct(key.alias("k"), F.array("event_type").alias("at")).alias("arguments")))
+    result = F.to_json(F.struct(F.lit("tool_result").alias("type"), F.when(F.col("event_id") % 5 > 0, key).otherwise("other").alias("tool_use_id"), F.concat(F.lit("seen "), key).alias("content")))
+    df = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", F.concat_ws("\n", use, result).alias("t")))).alias("x"))
+    text = F.concat(F.lit("```\n"), F.array_join(F.transform("x", lambda x: x["t"]), "\n\n"), F.lit("\n```"))
+    again = P.arrow(lambda t: P.render_steps(P.parse_steps(t)), "string")(text)
+    steps = df.select("user_id", F.posexplode(P.arrow(P.parse_steps, P.STEPS)(again)).alias("n", "s"))
+    seen = F.when(F.col("s.observation") == "{}", "").otherwise(F.col("s.observation"))
+    return steps.select("user_id", (F.col("n") + 1).alias("step"), F.col("s.action").alias("action"), F.col("s.action_input").alias("action_input"), seen.alias("observation"))
+
+
 @add(with_sql("""select prompt, any_value(system) as system, md5(string_agg(role || ':' || case when role = 'user' and generation = last and not contains(text, 'Answer briefly.') then text || chr(10) || chr(10) || 'Answer briefly.' else text end, '|' order by generation)) as digest
 from (select *, max(case when role = 'user' then generation end) over (partition by prompt) as last, 's' || prompt as system from rollouts) group by 1""", "rollouts"))
 def last_user_turn_append(spark, sf_dir):
