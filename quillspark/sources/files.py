@@ -24,13 +24,21 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+#: Columns that order the lines of text_lines(): file, block of the file, line in the block.
+LINE = ("f", "b", "i")
+
+
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value and LINE for each line; blocks are read in any order, so the place in the file comes from where a block starts."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+
+
 def jsonl_tolerant(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines with pos, the place in the file; blank and broken lines are skipped, a missing file is empty."""
     if not exists(spark, path):
         return spark.createDataFrame([], f"pos long, {schema}")
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("i"))
-    good = lines.where((F.trim("value") != "") & F.try_parse_json("value").isNotNull())
-    placed = with_position(good.select("f", "i", F.from_json("value", schema).alias("r")), [F.col("f"), F.col("i")], "pos")
+    good = text_lines(spark, path).where((F.trim("value") != "") & F.try_parse_json("value").isNotNull())
+    placed = with_position(good.select(*LINE, F.from_json("value", schema).alias("r")), [F.col(c) for c in LINE], "pos")
     return placed.where("r is not null").select("pos", "r.*")
 
 
@@ -108,7 +116,7 @@ def training_log(spark: SparkSession, path: str, metric: str) -> DataFrame:
 
     Ranges of lines carry the step inside, and the last step of the ranges before comes from a table of one row a range.
     """
-    lines = with_position(spark.read.text(path).withColumn("i", F.monotonically_increasing_id()), [F.col("i")], "line")
+    lines = with_position(text_lines(spark, path), [F.col(c) for c in LINE], "line")
     step = F.nullif(F.regexp_extract("value", r"\bstep[ =:]+(\d+)", 1), F.lit("")).cast("long")
     value = F.nullif(F.regexp_extract("value", rf"{re.escape(metric)}[ =:]+(-?[\d.]+)", 1), F.lit("")).cast("double")
     marked = lines.select("line", step.alias("s"), value.alias("v"), F.floor(F.col("line") / 4096).alias("c")).where("s is not null or v is not null")
