@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from quillspark.functions import names as N
@@ -14,7 +12,7 @@ from quillspark.operators import identifiers as I
 from quillspark.operators import training as K
 from quillspark.plans.relations import Catalogue, ledger, rollouts, scenarios, table, with_sql
 from quillspark.sources import files, splits
-from quillspark.sources.store import shared_folder
+from quillspark.sources.store import scratch
 from quillspark.streaming import batches
 
 CATALOGUE = Catalogue()
@@ -209,7 +207,7 @@ def staged_batches(spark, sf_dir):
 @add("select event_id, event_type, value from events where event_id % 2 = 0")
 def json_lines(spark, sf_dir):
     """Events written as ledger batches and as splits, read strictly, tolerantly and by split, all the same."""
-    folder = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    folder = scratch(spark, "lines")
     df = table(spark, sf_dir, "events").where("event_id % 2 = 0").select("event_id", "event_type", "value")
     schema = "event_id long, event_type string, value double"
     for again in range(2):
@@ -222,15 +220,11 @@ def json_lines(spark, sf_dir):
     return strict.intersect(both).where("event_id % 4 = 2").unionByName(tolerant)
 
 
-def folder_for(spark, name):
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @add("""with l as (select event_id, value, event_id % 7 > 0 and event_id % 3 > 0 as usable, event_id % 20 = 0 as held from events where event_id % 11 > 0)
 select event_id, value, (select count(*) from l where not usable) as skipped, (select count(*) from l where usable and held) as held_out from l where usable and not held""")
 def counted_lines(spark, sf_dir):
     """Events as JSON lines, some blank, some cut off, some without an event type: the usable ones, and how many were not."""
-    k, folder = F.col("event_id"), folder_for(spark, "counted")
+    k, folder = F.col("event_id"), scratch(spark, "counted")
     whole = F.to_json(F.struct("event_id", "value", F.when(k % 3 > 0, F.col("event_type")).alias("event_type")))
     table(spark, sf_dir, "events").select(F.when(k % 11 == 0, "").when(k % 7 == 0, F.substring(whole, 1, 12)).otherwise(whole)).write.text(folder)
     rows, n = files.jsonl_counting(spark, folder, "event_id long, value double, event_type string", F.col("event_type").isNotNull(), k % 20 == 0)
@@ -240,7 +234,7 @@ def counted_lines(spark, sf_dir):
 @add("""select line, step, value from (select event_id, event_type, row_number() over (order by event_id) - 1 as line, coalesce(last_value(case when event_type = 'view' then event_id end ignore nulls) over (order by event_id rows between unbounded preceding and current row), 0) as step, event_id % 1000 + 0.125::double as value from events) where event_type <> 'view'""")
 def log_metric(spark, sf_dir):
     """Events as lines of a log over several files: steps, and losses with the step named before them."""
-    folder = folder_for(spark, "log")
+    folder = scratch(spark, "log")
     line = F.when(F.col("event_type") == "view", F.concat(F.lit("epoch 1, step "), "event_id")).otherwise(F.concat(F.lit("loss = "), F.col("event_id") % 1000, F.lit(".125, rate 0.1")))
     table(spark, sf_dir, "events").orderBy("event_id").select(line).write.text(folder)
     return files.training_log(spark, folder, "loss")
@@ -248,14 +242,14 @@ def log_metric(spark, sf_dir):
 
 @add("select trim(n_name) as name, greatest(1, coalesce(case when n_nationkey % 4 > 0 then n_nationkey - 3 end, 1))::int as frequency from nation where n_nationkey % 5 > 0")
 def name_list(spark, sf_dir):
-    folder, k = folder_for(spark, "names"), F.col("n_nationkey")
+    folder, k = scratch(spark, "names"), F.col("n_nationkey")
     table(spark, sf_dir, "nation").select(F.when(k % 5 > 0, F.concat(F.lit("  "), "n_name", F.lit(" "))).otherwise("  ").alias("name"), F.when(k % 4 > 0, k - 3).alias("frequency")).write.json(folder)
     return files.weighted_names(spark, folder)
 
 
 @add("select n_nationkey as id, n_name as name from nation")
 def json_array_scan(spark, sf_dir):
-    folder = folder_for(spark, "array")
+    folder = scratch(spark, "array")
     row = F.to_json(F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")))
     table(spark, sf_dir, "nation").agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(row), ",\n"), F.lit("\n]"))).write.text(folder)
     return files.json_array(spark, folder, "id long, name string")
@@ -283,7 +277,7 @@ def manifest_samples(spark, sf_dir):
 @add("select o_orderkey as id, md5('answer ' || o_orderkey) as answer, case when o_orderkey % 2 = 0 then 1 else 2 end::int as run from orders where o_orderkey % 3 > 0")
 def cached_answers(spark, sf_dir):
     """Answers to half of the keys, then to all, then from the cache alone: none is made twice."""
-    folder, keys = folder_for(spark, "cache"), table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    folder, keys = scratch(spark, "cache"), table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
     answer = lambda run: lambda df: df.select("id", F.md5(F.concat(F.lit("answer "), F.col("id").cast("string"))).alias("answer"), F.lit(run).alias("run"))
     files.cached(spark, folder, keys.where("id % 2 = 0"), ["id"], answer(1))
     files.cached(spark, folder, keys, ["id"], answer(2))
@@ -293,7 +287,7 @@ def cached_answers(spark, sf_dir):
 @add("select event_id, event_id % 4 > 0 as accepted, case when event_id % 4 = 0 then 'quality' end as stage from events")
 def split_output(spark, sf_dir):
     """Accepted and rejected rows, the latter with the stage that turned them away."""
-    folder, k = folder_for(spark, "output"), F.col("event_id")
+    folder, k = scratch(spark, "output"), F.col("event_id")
     df = table(spark, sf_dir, "events").select("event_id", F.when(k % 4 == 0, "quality").alias("stage"), F.when(k % 4 == 0, "short").alias("reason"))
     files.write_split(df, folder, k % 4 > 0)
     good, bad = spark.read.parquet(f"{folder}/accepted"), spark.read.parquet(f"{folder}/rejected")
