@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -23,6 +26,8 @@ YES_NO = [
 #: A score line of its own, and a score anywhere.
 SCORE_LINE = r"(?im)^\s*score\s*[:=]\s*(-?[0-2])\s*$"
 SIGNED_SCORE = r"(?i)\bscore\b\s*[:=]\s*([-+]?\d+)\b"
+#: The border of an ASCII word.
+BORDER = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 #: Words of a payload.
 PAYLOAD_WORD = r"[A-Za-z0-9]+(?:['-][A-Za-z0-9]+)?"
 
@@ -82,18 +87,41 @@ def urls(x: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(URL), F.lit(0)), lambda u: F.rtrim(u, F.lit(URL_TAIL))))
 
 
+def ascii_rules(pattern: str) -> str:
+    """A pattern for Java by the rules of SQL: borders are those of ASCII words (Java's \\b counts letters of any script), white space has no vertical tab, and "ſ" and the Kelvin sign are an s and a k in any case."""
+    other = {r"\b": BORDER, r"\s": r"[\t\n\f\r ]"} | ({"s": "[sſ]", "S": "[Sſ]", "k": "[k\u212a]", "K": "[K\u212a]"} if pattern.startswith("(?i)") else {})
+    return re.sub(r"\(\?i\)|\\.|[sSkK]", lambda m: other.get(m[0], m[0]), pattern)
+
+
+def beginnings(pattern: str) -> list[str]:
+    """Strings in small letters, one of which starts any match of a pattern; none if that can't be told."""
+    body = pattern.removeprefix("(?i)").removeprefix(r"\b")
+    m = re.fullmatch(r"\(\?:((?:[^()]|\(\?:[^()]*\)\??)*)\)(?:\\b)?", body)
+    parts = re.split(r"\|(?![^()]*\))", m[1] if m else body)
+    if re.search(r"\\[()]|\[", body) or (len(parts) > 1 and not m):
+        return []
+    heads = [re.match(r"(?:[a-z ](?![?*+{]))*", p)[0] for p in parts]
+    return heads if all(heads) else []
+
+
 def signals(x: Column, patterns: dict[str, str]) -> Column:
-    """Labels of the patterns that a text matches, in the order of the table.
+    """Labels of the patterns that a text matches anywhere, in the order of the table, by ascii_rules; none for null.
 
-    Patterns that all start at a word's border (and ignore case) are looked for in one pass: what follows each border where
-    one of them fits is taken out, and labels are told from these short texts. A pattern must fit within 200 characters.
+    A pattern is tried only on texts that have one of its beginnings, in any case; a lambda holds the folded text, so that it
+    is made once and not for each pattern.
     """
-    plain = {label: p.removeprefix("(?i)") for label, p in patterns.items()}
-    if all(p.startswith("(?i)") and plain[k].startswith(r"\b") for k, p in patterns.items()):
-        any_ = r"(?is)\b(?=((?:" + "|".join(p.removeprefix(r"\b") for p in plain.values()) + r").{0,200}))"
-        found = F.array_join(F.regexp_extract_all(x, F.lit(any_), F.lit(1)), "\x1e")
-        return F.array_compact(F.array(*[F.when(found.rlike(rf"(?i)(?:^|\x1e){p}"), label) for label, p in plain.items()]))
-    return F.array_compact(F.array(*[F.when(x.rlike(p), label) for label, p in patterns.items()]))
+
+    def labels(t: Column) -> Column:
+        found = []
+        for label, pattern in patterns.items():
+            fits = t["text"].rlike(ascii_rules(pattern))
+            if heads := beginnings(pattern):
+                fits = reduce(or_, [t["small"].contains(h) for h in heads]) & fits
+            found.append(F.when(fits, label))
+        return F.array_compact(F.array(*found))
+
+    small = F.lower(F.replace(x, F.lit("ſ"), F.lit("s")))
+    return F.transform(F.array(F.struct(x.alias("text"), small.alias("small"))), labels).getItem(0)
 
 
 def strip_reasoning(x: Column) -> Column:

@@ -227,6 +227,16 @@ def test_text_functions(spark):
     assert column(spark, "see https://a.b/c).", X.urls) == ["https://a.b/c"]
 
 
+def test_signals(spark):
+    assert X.beginnings(r"(?i)\b(?:sad(?:ly)?|low mood)\b") == ["sad", "low mood"] and X.beginnings(r"(?i)\bcolou?r") == ["colo"]
+    assert X.beginnings("ab|cd") == X.beginnings(r"[ab]c") == X.beginnings(r"ab\(|cd\)") == X.beginnings("a*b") == []
+    table = {"phi": r"(?i)\bphi\b", "comp": r"(?i)\bworkers?\s+comp\b", "either": "(?i)one|two", "exact": r"\bNo\b"}
+    for text, want in (("éPHIñ", ["phi"]), ("graphic phi_", []), ("a wor\u212aerſ \t COMP", ["comp"]), ("workers\x0bcomp", []), ("tWo no", ["either"]), ("x" * 9000 + " phi " + "NóNo", ["phi", "exact"]), (None, [])):
+        assert column(spark, text, lambda x: X.signals(x, table)) == want, text
+    plan = spark.range(1).select(X.signals(F.col("id").cast("string"), {str(k): rf"(?i)\ba{k}\b" for k in range(60)}).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1 and "regexp_extract_all" not in plan  # the text is prepared once, not for each pattern
+
+
 def test_layouts():
     from quillspark.operators.training import Layout
 
