@@ -131,7 +131,8 @@ def strip_reasoning(x: Column) -> Column:
 
 
 def last_match(x: Column, pattern: str, group: int = 1) -> Column:
-    return F.try_element_at(F.regexp_extract_all(x, F.lit(pattern), F.lit(group)), F.lit(-1))
+    """A group of a pattern's last match, by ascii_rules for borders."""
+    return F.try_element_at(F.regexp_extract_all(x, F.lit(pattern.replace(r"\b", BORDER)), F.lit(group)), F.lit(-1))
 
 
 def yes_no(x: Column) -> Column:

@@ -255,6 +255,15 @@ def test_pad_and_trim_rows(spark, tmp_path, rows):
     against_sql(spark, tmp_path, "pad_and_trim", "embeddings", rows, "vec_id long, embedding array<float>")
 
 
+WHOLE = ["q ñno q", "q yes ñno q", "q knoé yesñ q", "q éyes_no q", "q yes no", "", " \n\t", None]
+
+
+@pytest.mark.parametrize("kinds", [[2, 3, 6], [0, 1, -1, -2, None]])
+def test_verdicts_in_prose_rows(spark, tmp_path, kinds):
+    rows = [(i, k, "user", t) for i, t in enumerate(WHOLE) for k in kinds]
+    against_sql(spark, tmp_path, "verdicts_in_prose", "conversations", rows, "conv_id long, turn long, role string, text string")
+
+
 def test_layouts():
     from quillspark.operators.training import Layout
 
