@@ -3,9 +3,9 @@
 Pages are cut into blocks with a role from their containers: part of an article, part of a main region, known chrome
 (menus, headers, footers, sidebars, notices, adverts, forms, comments) or open. For each host the token streams of all
 text outside articles are laid end to end; a suffix array, built by prefix doubling as far as runs of MIN_RUN tokens,
-brings equal runs together; runs on several distinct pages cover boilerplate. Uncovered text of main regions and open
-blocks stays, on every page. Then the check: an article's own text always stays, however often it is copied, and chrome
-goes even where it is on one page only.
+brings equal runs together; runs on several distinct pages cover boilerplate. Every page goes this way, and what runs
+cover goes. Then the check: chrome goes even where no run covers it, and an article's own text always stays, however often
+it is copied, so it is no part of the streams: a page that holds the text of another's article outside one keeps it.
 
 A host's pages are dealt to shards by page, as many as its pages and bytes ask for, so that no task holds a whole host.
 Each shard tells its runs, as digests with the smallest and largest page that has them, and an aggregate over the host
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from hashlib import blake2b
 from html import unescape
 from itertools import groupby
+from zlib import compress, decompress
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import bounded_batches, few, materialise, read_table
+from quillspark.llm.common import bounded_batches, few, read_table
 from quillspark.llm.urls import host_of
 
 #: Tokens of a run, block ends included; it must be on two distinct pages of the host.
@@ -210,24 +211,18 @@ def tokens_of(texts: list[str]) -> list[str]:
     return [w for text in texts for w in ("\0", *text.split(" "), "\0")]
 
 
-def exchanged(host: str, shards: int, shown: list[bool], pages: list[int], texts: list[list[str]]) -> list[tuple[bytes, int, int, bool]]:
-    """What a shard tells of its runs: (digest, smallest page, largest page, whether a page that asks has it).
-
-    A host's only shard tells only what it needs itself.
-    """
+def exchanged(host: str, shards: int, pages: list[int], texts: list[list[str]]) -> list[tuple[bytes, int, int]]:
+    """What a shard tells of its runs: (digest, smallest page, largest page). A host's only shard tells only those on two pages."""
     number: dict[str, int] = {}
     words = [tokens_of(t) for t in texts]
-    place, low, high, run = shard_runs([np.array([number.setdefault(w, len(number)) for w in ws], dtype=np.int64) for ws in words], pages)
-    asking = np.concatenate([np.full(len(ws) + 1, a) for ws, a in zip(words, shown, strict=True)])
-    asked = np.zeros(len(place), dtype=bool)
-    asked[run[asking & (run >= 0)]] = True
+    place, low, high, _ = shard_runs([np.array([number.setdefault(w, len(number)) for w in ws], dtype=np.int64) for ws in words], pages)
     flat = [w for ws in words for w in (*ws, "")]
-    told = np.arange(len(place)) if shards > 1 else np.flatnonzero(asked & (low < high))
-    return [(digest(host, flat[place[k] : place[k] + MIN_RUN]), int(low[k]), int(high[k]), bool(asked[k])) for k in told]
+    told = np.arange(len(place)) if shards > 1 else np.flatnonzero(low < high)
+    return [(digest(host, flat[place[k] : place[k] + MIN_RUN]), int(low[k]), int(high[k])) for k in told]
 
 
-def main_text(host: str, page: list[tuple[int, str]], found: set[bytes]) -> str:
-    """A page's articles, and its main regions and open blocks without the tokens of found runs.
+def main_text(host: str, page: list[tuple[int, str]], found: set[bytes]) -> tuple[str, int]:
+    """A page's articles, and its main regions and open blocks without the tokens of found runs; and how many words found runs cover.
 
     What a run from a neighbouring block covers of a block's end goes only with the whole block, or if it is MIN_RUN tokens long itself.
     """
@@ -238,11 +233,12 @@ def main_text(host: str, page: list[tuple[int, str]], found: set[bytes]) -> str:
             if digest(host, words[k : k + MIN_RUN]) in found:
                 gone[k] += 1
                 gone[k + MIN_RUN] -= 1
-    covered, at, kept = np.cumsum(gone) > 0, 0, []
+    covered, at, kept, repeated = np.cumsum(gone) > 0, 0, [], 0
     for role, text in page:
         if role != ARTICLE:
             n = text.count(" ") + 1
             stay: list[str] = []
+            repeated += int(covered[at + 1 : at + 1 + n].sum())
             for hidden, part in groupby(range(at + 1, at + 1 + n), key=covered.__getitem__):
                 run = list(part)
                 if not hidden or n > len(run) < MIN_RUN:
@@ -251,11 +247,11 @@ def main_text(host: str, page: list[tuple[int, str]], found: set[bytes]) -> str:
             at += n + 2
         if text:
             kept.append(text)
-    return " ".join(kept)
+    return " ".join(kept), repeated
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", keep: list[str] | None = None) -> DataFrame:
-    """One row for each row of pages: the columns in keep (page_id, url), text and n_chars (code points).
+    """One row for each row of pages: the columns in keep (page_id, url), text, n_chars (code points) and n_repeated (words outside articles that runs cover).
 
     A page yields all its articles, and its main regions and open blocks without runs that its host's other pages repeat,
     in page order. Null or empty markup yields an empty text. Pages without a host form one group, dealt to shards like any
@@ -267,57 +263,47 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", keep: list[s
     sizes = flat.groupBy("host").agg(F.greatest(F.ceil(F.count("*") / SHARD_PAGES), F.ceil(F.sum(F.octet_length("html")) / SHARD_BYTES), F.lit(1)).cast("int").alias("shards"))
     own = flat.schema.fields[: len(keep)]
     names = [f.name for f in own]
-    schema = T.StructType([*own, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    # pages that ask for runs have a main region or open block; the others are done
-    asks = lambda page: any(CHROME < r < ARTICLE for r, _ in page)
-
-    def rows(keys: list, found: list[str]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*keys, pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], names=schema.names)
-
-    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [blocks(h.as_py() or "") for h in batch.column(len(own))]
-            some = batch.filter(pa.array([not asks(p) for p in found], pa.bool_()))
-            yield rows(some.columns[: len(own)], [" ".join(t for r, t in p if r == ARTICLE) for p in found if not asks(p)])
-
+    schema = T.StructType([*own, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_repeated", T.LongType())])
     large = few(sizes.where("shards > 1"))
     dealt = flat.join(large, "host", "left").withColumn("shards", F.coalesce("shards", F.lit(1))).withColumn("shard", F.pmod(F.xxhash64(*names), F.col("shards")))
-    ready = dealt.select(*names, "host", "shard", "shards", "html")
-    more = [T.StructField("asks", T.BooleanType()), T.StructField("page", T.LongType()), T.StructField("roles", T.ArrayType(T.ByteType())), T.StructField("texts", T.ArrayType(T.StringType()))]
-    cut_schema = T.StructType([*ready.schema.fields[:-1], *more])
+    texts = T.StructField("texts", T.ArrayType(T.StringType()))
+
+    # pages are cut twice, as only what stands outside articles is in the streams: cheaper than to keep all texts on disk;
+    # texts, which have no line ends, are packed for the shuffle
+    def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cuts = [blocks(h.as_py() or "") for h in batch.column(batch.num_columns - 1)]
+            some = batch.filter(pa.array([any(r != ARTICLE for r, _ in p) for p in cuts], pa.bool_()))
+            cuts = [p for p in cuts if any(r != ARTICLE for r, _ in p)]
+            # pages are copies of each other if their articles are equal too
+            ids = [blake2b("\0".join(t for _, t in p).encode("utf-8", "surrogatepass"), digest_size=8).digest() for p in cuts]
+            found = [[t for r, t in p if r != ARTICLE] for p in cuts]
+            yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array([int.from_bytes(i, "big", signed=True) for i in ids], pa.int64()), pa.array(found, pa.list_(pa.string()))], names=outside_schema.names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [blocks(h.as_py() or "") for h in batch.column(batch.num_columns - 1)]
-            some = batch.filter(pa.array([any(r != ARTICLE for r, _ in p) for p in found], pa.bool_()))
-            found = [p if asks(p) else [b for b in p if b[0] != ARTICLE] for p in found if any(r != ARTICLE for r, _ in p)]
-            ids = [blake2b("\0".join(t for r, t in p if r != ARTICLE).encode("utf-8", "surrogatepass"), digest_size=8).digest() for p in found]
-            arrays = [
-                pa.array([asks(p) for p in found], pa.bool_()), pa.array([int.from_bytes(i, "big", signed=True) for i in ids], pa.int64()),
-                pa.array([[r for r, _ in p] for p in found], pa.list_(pa.int8())), pa.array([[t for _, t in p] for p in found], pa.list_(pa.string())),
-            ]
-            yield pa.RecordBatch.from_arrays([*some.columns[:-1], *arrays], names=cut_schema.names)
+            arrays = [pa.array([[r for r, _ in p] for p in found], pa.list_(pa.int8())), pa.array([compress("\n".join(t for _, t in p).encode(), 1) for p in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=cut_schema.names)
 
     def tell(key: tuple, table: pa.Table) -> pa.Table:
-        found = exchanged(key[0].as_py(), table.column("shards")[0].as_py(), *[table.column(c).to_pylist() for c in ("asks", "page", "texts")])
-        told = list(zip(*found, strict=True)) or [()] * 4
-        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.bool_())
-        return pa.table([pa.array([k.as_py()] * len(found), k.type) for k in key] + [pa.array(c, t) for c, t in zip(told, kinds, strict=True)], names=["host", "shard", "run", "low", "high", "asked"])
+        found = exchanged(key[0].as_py(), table.column("shards")[0].as_py(), table.column("page").to_pylist(), table.column("texts").to_pylist())
+        told = list(zip(*found, strict=True)) or [()] * 3
+        return pa.table([pa.array([k.as_py()] * len(found), k.type) for k in key] + [pa.array(c, t) for c, t in zip(told, (pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["host", "shard", "run", "low", "high"])
 
     def decide(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         runs = set(right.column("run").to_pylist())
-        found = [main_text(key[0].as_py(), list(zip(r, t, strict=True)), runs) for r, t in zip(left.column("roles").to_pylist(), left.column("texts").to_pylist(), strict=True)]
-        return pa.table([*[left.column(n) for n in names], pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], names=schema.names)
-
-    rest = materialise(ready.mapInArrow(cut, cut_schema), "blocks")
-    outside = F.transform(F.filter(F.arrays_zip("roles", "texts"), lambda x: x["roles"] != ARTICLE), lambda x: x["texts"])
-    told = rest.select("host", "shard", "shards", "asks", "page", outside.alias("texts")).groupBy("host", "shard").applyInArrow(tell, "host string, shard long, run binary, low long, high long, asked boolean")
-    both = told.groupBy("host", "run").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.collect_set(F.when(F.col("asked"), F.col("shard"))).alias("to"))
+        found = [main_text(key[0].as_py(), list(zip(r, decompress(t).decode().split("\n"))), runs) for r, t in zip(left.column("roles").to_pylist(), left.column("packed").to_pylist(), strict=True)]
+        return pa.table([*[left.column(n) for n in names], pa.array([t for t, _ in found], pa.string()), pa.array([len(t) for t, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())], names=schema.names)
+
+    told_pages, own_pages = dealt.select("host", "shard", "shards", "html"), dealt.select(*names, "host", "shard", "html")
+    outside_schema = T.StructType([*told_pages.schema.fields[:-1], T.StructField("page", T.LongType()), texts])
+    cut_schema = T.StructType([*own_pages.schema.fields[:-1], T.StructField("roles", T.ArrayType(T.ByteType())), T.StructField("packed", T.BinaryType())])
+    told = told_pages.mapInArrow(outside, outside_schema).groupBy("host", "shard").applyInArrow(tell, "host string, shard long, run binary, low long, high long")
+    both = told.groupBy("host", "run").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.collect_set("shard").alias("to"))
     repeated = both.where("low < high").select("host", F.explode("to").alias("shard"), "run")
-    open_pages = rest.where("asks").select(*names, "host", "shard", "roles", "texts")
-    decided = open_pages.groupBy("host", "shard").cogroup(repeated.groupBy("host", "shard")).applyInArrow(decide, schema)
-    done = flat.select(*names, "html").mapInArrow(settled, schema).unionByName(decided)
-    return done.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "text", "n_chars")
+    decided = own_pages.mapInArrow(cut, cut_schema).groupBy("host", "shard").cogroup(repeated.groupBy("host", "shard")).applyInArrow(decide, schema)
+    return decided.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "text", "n_chars", "n_repeated")
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:

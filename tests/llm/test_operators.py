@@ -263,6 +263,24 @@ def test_html_runs_decide_beside_articles(spark):
     assert got == {k: f"story n{k} n{k}a n{k}b n{k}c n{k}d n{k}e" for k in range(4)}
 
 
+def test_html_every_page_goes_through_the_runs(spark):
+    """Articles and chrome only: runs find the footer, the check takes the advert that no page repeats and keeps the article that two pages share."""
+    shared = "a story of seven words in two papers"
+    body = "<div class='ad'>only here n{0}</div><article><p>{1}</p></article><footer>All rights reserved by our little site</footer>"
+    rows = [(k, f"http://h/{k}", body.format(k, shared if k < 2 else f"n{k}a n{k}b")) for k in range(4)] + [(9, "http://g/", f"<article>{shared}</article>"), (10, "http://g/2", None)]
+    got = {r.page_id: (r.text, r.n_repeated) for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: (shared, 7), 1: (shared, 7), 2: ("n2a n2b", 7), 3: ("n3a n3b", 7), 9: (shared, 0), 10: ("", 0)}
+
+
+def test_html_notice_beside_articles_that_differ(spark):
+    """What stands outside is equal on all pages of h; on g whole pages are copies."""
+    body = "<div>Our offices are closed on the last Friday of May</div><article>story {0}</article><p>Call us any day of the week now</p>"
+    rows = [(k, f"http://h/{k}", body.format(f"n{k}")) for k in range(3)] + [(10 + k, f"http://g/{k}", body.format("one")) for k in range(3)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    whole = "Our offices are closed on the last Friday of May story one Call us any day of the week now"
+    assert got == {k: f"story n{k}" for k in range(3)} | {10 + k: whole for k in range(3)}
+
+
 def test_html_runs_cross_shards(spark):
     own = lambda k: " ".join(f"n{k}w{i}" for i in range(9))
     notice = "Our offices are closed on the last Friday of May"
