@@ -10,7 +10,8 @@ The automaton's state after a prefix is the longest suffix of it that starts a t
 shorter ones, so it reports exactly the tokens that are suffixes of the prefix: what the suffix automaton of the text
 would, looked up from the other side, without one automaton for each word.
 
-Texts are cut at white space and each distinct cut is encoded once per task; the memory of that table is bounded, and it goes with the task.
+Texts are split into pre-tokens, a group of texts at a time. The distinct ones that the task doesn't know yet are encoded in
+sorted order, so that those with a common beginning share its prefixes; what is known is kept in a bounded table that goes with the task.
 """
 
 from __future__ import annotations
@@ -19,11 +20,10 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import groupby
 
-import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -33,11 +33,18 @@ from quillspark.llm.common import bounded_batches, give_back
 
 #: Stands for the end mark: no character of the byte alphabet.
 END = "\ue000"
-#: Entries of each half of a task's tables of known cuts and words, and of its table of tested pairs; flags of keys asked for (a power of 2).
-MEMO, PAIRS, SEEN = 120_000, 500_000, 1 << 22
+#: Entries of each half of a task's table of known pre-tokens and of its table of cuts with other characters; of its tables
+#: of tested pairs and of steps; pre-tokens of a group of texts; flags of keys asked for (a power of 2).
+KNOWN, MEMO, PAIRS, STEPS, GROUP, SEEN = 200_000, 60_000, 500_000, 500_000, 100_000, 1 << 22
 #: Python's str.split() also parts at these, which are no white space to the tokenizer.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 SPACE = regex.compile(r"[\s--[\x1c-\x1f]]+", regex.V1)
+#: The split of the vocabulary file, and the same for lower-cased texts of PLAIN: characters whose class is fixed by these ranges, that
+#: NFC leaves alone, and whose lower case is one of them (Latin letters up to U+017F without U+0130, ASCII digits, marks, white space).
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LETTERS = "a-z\u00df-\u00f6\u00f8-\u017f"
+PLAIN = re.compile("[\t-\r\x20-\x7e\u00a1-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf-\u012f\u0131-\u017f\u2010-\u2027\u2030-\u2053]*")
+PLAIN_SPLIT = re.compile(rf"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\s{LETTERS}0-9]+")
 
 
 def byte_alphabet() -> list[str]:
@@ -60,17 +67,52 @@ class PrefixBpe:
             self.joined.setdefault((a, b), k)
             if a + b not in self.rank:
                 self.rank[a + b], self.parts[a + b] = k, (a, b)
-        # tokens by number: a pair of tokens is one integer, and the automaton gives number, symbols, and whether the end mark is in it
+        # tokens by number: a pair of tokens is one integer
         self.symbols = {t for t in vocab if len(t) == 1 and t + end in vocab}
         self.tokens = list(vocab)
         self.apart: dict[int, bool] = {}
-        self.automaton = ahocorasick.Automaton()
-        for k, token in enumerate(self.tokens):
-            if self._stands(token):
-                marked = self._mark(token)
-                closing = marked.endswith(END)
-                self.automaton.add_word(marked, (k, len(marked) - closing, closing))
-        self.automaton.make_automaton()
+        self._build([(self._mark(t), k) for k, t in enumerate(self.tokens) if self._stands(t)])
+
+    def _build(self, words: list[tuple[str, int]]) -> None:
+        """The automaton: edges of the trie by state << 21 | character, suffix links, and the tokens that end in each state, longest first."""
+        self.sizes = [0] * len(self.tokens)
+        self.edges: dict[int, int] = {}
+        self.links, self.found = [0], [()]
+        self.steps: dict[int, int] = {}
+        level = [(0, 0, word, k) for word, k in words]  # state before, its link, token
+        at = 0
+        while level:
+            after = []
+            for state, link, word, k in level:
+                key = state << 21 | ord(word[at])
+                if (new := self.edges.get(key)) is None:
+                    new = self.edges[key] = len(self.links)
+                    self.links.append(self._walk(link, key & 0x1FFFFF) if state else 0)
+                    self.found.append(None)
+                if at + 1 == len(word):
+                    self.sizes[k] = len(word) - word.endswith(END)
+                    self.found[new] = (k,)
+                else:
+                    after.append((new, self.links[new], word, k))
+            level, at = after, at + 1
+        for state in range(1, len(self.links)):  # by depth, so a link's tokens are complete
+            self.found[state] = (self.found[state] or ()) + self.found[self.links[state]]
+
+    def _walk(self, state: int, char: int) -> int:
+        """The next state by the trie's edges and suffix links."""
+        while (new := self.edges.get(state << 21 | char)) is None:
+            if not state:
+                return 0
+            state = self.links[state]
+        return new
+
+    def step(self, key: int) -> int:
+        """The state after state << 21 | character."""
+        if (new := self.steps.get(key)) is None:
+            if len(self.steps) > STEPS:
+                self.steps.clear()
+            new = self.steps[key] = self._walk(key >> 21, key & 0x1FFFFF)
+        return new
 
     def _mark(self, token: str) -> str:
         """The end mark as one private character, so that positions count symbols."""
@@ -131,34 +173,62 @@ class PrefixBpe:
 
     def _known(self, word: str, end: str) -> list[str]:
         """end: the end mark where the word is closed, else empty."""
-        n = len(word)
-        last, sizes = [-1] * (n + 1), [0] * (n + 1)
-        open_to = n - 1 if end else n
-        apart, compatible = self.apart, self.compatible
-        for at, (token, size, closing) in self.automaton.iter(word + END if end else word):
-            if not closing:
-                if at >= open_to:
-                    continue
-                at += 1
-            if last[at] >= 0:
-                continue
-            if at != size:
-                if (left := last[at - size]) < 0:
-                    continue
-                pair = left << 32 | token
-                if (known := apart.get(pair)) is None:
-                    known = compatible(pair)
-                if not known:
-                    continue
-            last[at] = token
-            sizes[at] = size
-        out, k = [], n
-        while k > 0:
-            if last[k] < 0:
+        return [self.tokens[t] for t in next(self.encode_sorted([word], bool(end)))] if word else []
+
+    def encode_sorted(self, words: Iterable[str], closed: bool) -> Iterator[list[int]]:
+        """Numbers of the tokens of each word, whose symbols the vocabulary has; closed: with the end mark after it.
+
+        A prefix has the same last token in all words that begin with it, so only what a word doesn't share with the
+        word before it is new: in sorted order that is least.
+        """
+        states, last = [0], [-1]  # by prefix of the word
+        steps, found, sizes, apart = self.steps, self.found, self.sizes, self.apart
+        step, compatible, final = self.step, self.compatible, ord(END)
+        before = ""
+        for word in words:
+            k = 0
+            for a, b in zip(word, before):  # noqa: B905
+                if a != b:
+                    break
+                k += 1
+            del states[k + 1 :], last[k + 1 :]
+            before = word
+            state = states[k]
+            for c in map(ord, word[k:]):
+                k += 1
+                key = state << 21 | c
+                if (state := steps.get(key)) is None:
+                    state = step(key)
+                for token in found[state]:
+                    if start := k - sizes[token]:
+                        if (left := last[start]) < 0:
+                            continue
+                        pair = left << 32 | token
+                        if (fits := apart.get(pair)) is None:
+                            fits = compatible(pair)
+                        if not fits:
+                            continue
+                    break
+                else:
+                    token = -1
+                states.append(state)
+                last.append(token)
+            if closed:
+                for token in found[step(state << 21 | final)]:
+                    if not (start := k - sizes[token]) or (left := last[start]) >= 0 and compatible(left << 32 | token):
+                        break
+                else:
+                    token = -1
+            else:
+                token = last[k]
+            if token < 0:
                 raise ValueError(f"no token of the vocabulary ends at {k}")
-            out.append(self.tokens[last[k]])
-            k -= sizes[k]
-        return out[::-1]
+            out = [token]
+            while k := k - sizes[token]:
+                token = last[k]
+                out.append(token)
+            out.reverse()
+            yield out
 
 
 class Memo:
@@ -200,49 +270,87 @@ class WordEncoder:
         self.special_at = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.split = regex.compile(d["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.bpe = PrefixBpe(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]], model.get("end_of_word_suffix") or "", model.get("unk_token"), bool(model.get("fuse_unk")))
-        self.pieces = {t: (k.to_bytes(4, "little"), " " + t) for t, k in model["vocab"].items()}
+        self.names = {k: t for t, k in [*model["vocab"].items(), *self.special.items()]}
+        self.pieces = [k.to_bytes(4, "little") for k in model["vocab"].values()]
+        self.piece_of = {t: k.to_bytes(4, "little") for t, k in model["vocab"].items()}
         self.alphabet = byte_alphabet()
-        self.cuts, self.words = Memo(MEMO), Memo(MEMO)
-        letters = "abcdefghijklmnopqrstuvwxyz"
-        self.plain = self.split.findall(letters) == [letters] and not any(t.isalpha() for t in self.special)
-
-    def word(self, word: str) -> tuple[bytes, str]:
-        """Ids and tokens of a pre-token; words without the punctuation around them recur far more often than cuts."""
-        if (known := self.words.get(word)) is None:
-            shown = word if word.isascii() and word.isalnum() else "".join([self.alphabet[b] for b in word.encode()])
-            found = [self.pieces[t] for t in self.bpe.encode(shown)]
-            known = found[0] if len(found) == 1 else (b"".join([a for a, _ in found]), "".join([b for _, b in found]))
-            if len(word) <= 64:
-                self.words.put(word, known)
-        return known
+        self.whole = self.bpe.symbols.issuperset(self.alphabet)
+        self.plain = self.split.pattern == SPLIT
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.cuts = Memo(MEMO)
+
+    def parts(self, text: str) -> list[str]:
+        """Pre-tokens of a text; a special string has a blank before it, as no pre-token has."""
+        plain = self.plain and not any(s in text for s in self.special)
+        if plain and PLAIN.fullmatch(text):
+            return PLAIN_SPLIT.findall(text.lower())
+        out: list[str] = []
+        for cut in SPACE.split(text) if SEPARATORS.search(text) else text.split():
+            if plain and PLAIN.fullmatch(cut):
+                out += PLAIN_SPLIT.findall(cut.lower())
+            elif cut:
+                out += self._cut(cut)
+        return out
 
-    def cut(self, part: str) -> tuple[bytes, str]:
-        """Ids and tokens of a text without white space."""
-        if (known := self.cuts.get(part)) is None:
-            if self.plain and part.isascii() and part.isalpha():  # no border of a pre-token inside, no special string
-                known = self.word(part.lower())
-                if len(part) <= 64:
-                    self.cuts.put(part, known)
-                return known
-            found = []
-            for text in self.special_at.split(part) if self.special_at else [part]:
+    def _cut(self, cut: str) -> list[str]:
+        """Pre-tokens of a text without white space, of any characters."""
+        if (known := self.cuts.get(cut)) is None:
+            known = []
+            for text in self.special_at.split(cut) if self.special_at else [cut]:
                 if text in self.special:
-                    found.append((self.special[text].to_bytes(4, "little"), " " + text))
+                    known.append(" " + text)
                 elif text:
                     plain = text if text.isascii() else unicodedata.normalize("NFC", text)
-                    plain = plain.lower() if plain.isascii() else "".join(map(str.lower, plain))
-                    found += map(self.word, self.split.findall(plain))
-            known = found[0] if len(found) == 1 else (b"".join([a for a, _ in found]), "".join([b for _, b in found]))
-            if len(part) <= 64:
-                self.cuts.put(part, known)
+                    known += self.split.findall(plain.lower() if plain.isascii() else "".join(map(str.lower, plain)))
+            if len(cut) <= 64:
+                self.cuts.put(cut, known)
         return known
 
-    def text(self, text: str) -> tuple[bytes, str]:
-        """All ids as little-endian 32-bit integers, and the decoded text: tokens with a blank between, as there is no decoder."""
-        parts = SPACE.split(text) if SEPARATORS.search(text) else text.split()
-        young, cut = self.cuts.young, self.cut
-        cuts = [young.get(p) or cut(p) for p in parts if p]
-        return b"".join([c[0] for c in cuts]), "".join([c[1] for c in cuts])[1:]
+    def _learn(self, words: set[str]) -> list[str]:
+        """Enters the ids of all these pre-tokens into the young half of the table; gives those that are too long to stay there.
+
+        When the young half is full, it becomes the old one, from which words that are asked for return.
+        """
+        if len(self.young) >= KNOWN:
+            self.old, self.young = self.young, {}
+        young, old, new = self.young, self.old, []
+        for word in words.difference(young):
+            if (ids := old.get(word)) is not None:
+                young[word] = ids
+            elif word[0] == " ":
+                young[word] = self.special[word[1:]].to_bytes(4, "little")
+            else:
+                new.append(word)
+        new.sort()
+        alphabet, pieces = self.alphabet, self.pieces
+        shown = (w if w.isascii() and w.isalnum() else "".join([alphabet[b] for b in w.encode()]) for w in new)
+        if self.whole:
+            young.update(zip(new, (b"".join([pieces[t] for t in found]) for found in self.bpe.encode_sorted(shown, bool(self.bpe.end))), strict=True))
+        else:
+            young.update((w, b"".join([self.piece_of[t] for t in self.bpe.encode(s)])) for w, s in zip(new, shown, strict=True))
+        return [w for w in new if len(w) > 64]
+
+    def texts(self, texts: Iterable[str | None]) -> Iterator[tuple[bytes, str]]:
+        """Of each text all ids as little-endian 32-bit integers, and the decoded text: tokens with a blank between, as there is no decoder."""
+        group: list[list[str]] = []
+        held = 0
+        for text in texts:
+            group.append(self.parts(text) if text else [])
+            held += len(group[-1])
+            if held >= GROUP:
+                yield from self._coded(group)
+                group, held = [], 0
+        yield from self._coded(group)
+
+    def _coded(self, group: list[list[str]]) -> Iterator[tuple[bytes, str]]:
+        long = self._learn(set().union(*group))
+        ids_of, name = self.young.__getitem__, self.names.__getitem__
+        for parts in group:
+            ids = b"".join(map(ids_of, parts))
+            yield ids, " ".join(map(name, memoryview(ids).cast("I"))) if ids else ""
+        for word in long:
+            del self.young[word]
 
 
 @lru_cache(maxsize=2)
@@ -278,8 +386,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, text_col: str = "text", k
         coder = encoder(spec.value)
         for batch in batches:
             n, ids, decoded, raw, plain = [], [], [], [], []
-            for text in batch.column(batch.num_columns - 1):
-                a, b = coder.text(text.as_py() or "")
+            for a, b in coder.texts(t.as_py() for t in batch.column(batch.num_columns - 1)):
                 n.append(len(a) // 4)
                 ids.append(hashlib.sha256(a).hexdigest())
                 decoded.append(hashlib.sha256(b.encode()).hexdigest())

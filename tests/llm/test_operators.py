@@ -2,8 +2,10 @@
 
 import collections
 import re
+import sys
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -46,6 +48,58 @@ def test_bpe_matches_library(odd, empty):
     assert bpe.encode_documents(empty, path).count() == 0
 
 
+def test_bpe_plain_and_odd_texts_match_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        coder = bpe.WordEncoder(f.read())
+    odd = "'sSİıſŸßẞ×÷ªº²½µ¿¡«»“”’–—…٣Ⅷ日я\u0301\u0327\x00\x1c\x7f\x85\xa0\u2028"
+    texts = [f"Don{a}T {a}{b}1{a}s x{b}'{a}Re É{a}\t{b}" for a in odd for b in odd]
+    texts += [None, "", " \n", "<|endoftext|>s'<|startoftext|>'s", "<|ENDOFTEXT|>", "é" * 3_000, "the " * 10 + "z" * 100 + " " + "z" * 100, *texts[:9]]
+    for text, (ids, decoded) in zip(texts, coder.texts(texts), strict=True):
+        want = lib.encode(text or "", add_special_tokens=False).ids
+        assert ids == b"".join(k.to_bytes(4, "little") for k in want), ascii(text)
+        assert decoded == lib.decode(want, skip_special_tokens=False)
+    assert max(map(len, coder.young)) <= 64
+
+
+def test_bpe_table_is_bounded_and_forgets_rightly(monkeypatch):
+    monkeypatch.setattr(bpe, "KNOWN", 50)
+    monkeypatch.setattr(bpe, "GROUP", 40)
+    monkeypatch.setattr(bpe, "STEPS", 30)
+    monkeypatch.setattr(bpe, "PAIRS", 30)
+    monkeypatch.setattr(bpe, "MEMO", 5)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        coder = bpe.WordEncoder(f.read())
+    texts = [prose(k % 23, 30) + f" я{k % 7}я <|endoftext|>" for k in range(120)]
+    for text, (ids, _) in zip(texts, coder.texts(texts), strict=True):
+        assert memoryview(ids).cast("I").tolist() == lib.encode(text, add_special_tokens=False).ids
+    assert len(coder.young) <= 50 + 80 and len(coder.old) <= 50 + 80
+
+
+def test_bpe_calls_by_word(spark, monkeypatch):
+    """What the interpreter does for a text of words that each occur twice, counted in calls, as the clock depends on the machine."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    syllables = "an ti on the re sh wh ou er st ble ly in ed nd ha".split()
+    words = ["".join(syllables[k * 7919 >> s & 15] for s in (0, 4, 8, 12)) for k in range(4_000)]
+    texts = [" ".join(words[k : k + 100]) + ", " + ". ".join(words[k : k + 100]) for k in range(0, 4_000, 100)]
+    docs, runs, calls = spark.createDataFrame([(1, "a")], "doc_id long, text string"), [], collections.Counter()
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: runs.append(run) or self)
+    bpe.encode_documents(docs, path)
+    with open(path, encoding="utf-8") as f:
+        bpe.encoder(f.read())
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "__text": texts})
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        (out,) = runs[0](iter([batch]))
+    finally:
+        sys.setprofile(None)
+    assert out.num_rows == len(texts)
+    assert calls["call"] + calls["c_call"] < 50 * 8_000  # 67 if a word is encoded until it is asked for again, by its cuts and by itself
+
+
 def test_bpe_prefixes_equal_merges():
     merges = [("a", "b"), ("b", "c"), ("ab", "c"), ("c", "a"), ("ca", "b"), ("b", "b"), ("abc", "abc"), ("bb", "a")]
     vocab = {t: k for k, t in enumerate(dict.fromkeys(["a", "b", "c", *[x + y for x, y in merges]]))}
